@@ -18,6 +18,7 @@ row's samples do not depend on how rows are dealt to tasks.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ SAMPLES = 2
 GROUP_CHARS = 6_000_000
 SAMPLE_CHARS = 1_000_000
 #: Words of a text whose untaken choices are looked at first.
-NEAR_WORDS = 160
+NEAR_WORDS = 128
 UNKNOWN_PENALTY = 10.0
 CHUNKS = re.compile(f"{SPACE}+[^{SPACE}]*")
 
@@ -165,13 +166,19 @@ class Lattices:
         total = np.full(nodes, -np.inf)
         total[base] = 0.0
         place = at[start[order]] + length[order]  # end place within the word
-        by = np.lexsort((head, place))
+        by = np.argsort(place.astype(np.int16) if lens.max(initial=0) < 32767 else place, kind="stable")
         cuts = np.flatnonzero(np.diff(place[by])) + 1
         for e in np.split(by, cuts) if len(by) else []:
             ends = head[e]
             seg = np.concatenate([[0], np.flatnonzero(np.diff(ends)) + 1])
             total[ends[seg]] = np.logaddexp.reduceat(total[self.tail[e]] + logw[e], seg)
         self.logp = total[self.tail] + logw - total[head]
+        # running sums over a node's edges, for draws of one edge without its siblings
+        self.upto = np.exp(self.logp)
+        degree = np.diff(self.ptr)
+        for r in range(1, int(degree.max(initial=0))):
+            at = self.ptr[:-1][degree > r] + r
+            self.upto[at] += self.upto[at - 1]
 
 
 def mix64(x):
@@ -190,12 +197,12 @@ def gumbel(bits):
     return -np.log(-np.log(u))
 
 
-def walk(lat: Lattices, node, first, place, step, seed, near: int):
+def walk(lat: Lattices, node, first, place, step, seed, near):
     """Choose last pieces from each occurrence's node back to its word's start.
 
-    Yields for each round: occurrences, steps and chosen edges; then occurrence, step, edge, perturbed
-    log-probability and the round's maximum of the siblings in a text's first ``near`` words, and of any
-    sibling that is nearly the maximum.
+    Yields for each round occurrences, steps and chosen edges; and, for the occurrences that are ``near``,
+    occurrence, step, edge, perturbed log-probability and the choice's maximum of every edge not taken.
+    Elsewhere an edge is drawn by its running sum, which has the same distribution.
     """
     import numpy as np
 
@@ -204,24 +211,37 @@ def walk(lat: Lattices, node, first, place, step, seed, near: int):
     step = step[live]
     gold = np.uint64(0x9E3779B97F4A7C15)
     while len(live):
-        lo, n = lat.ptr[node], lat.ptr[node + 1] - lat.ptr[node]
-        edges = _spread(lo, n)
-        own = np.repeat(np.arange(len(live)), n)
-        begin = np.cumsum(n) - n
-        rank = np.arange(len(edges)) - begin[own]
         mark = mix64(seed[live] + (place[live].astype(np.uint64) * np.uint64(4096) + step.astype(np.uint64)) * gold)
-        a = lat.logp[edges] + gumbel(mix64(mark[own] + rank.astype(np.uint64) * gold + np.uint64(1)))
-        top = np.maximum.reduceat(a, begin)
-        gap = top[own] - a
-        hits = np.flatnonzero(gap == 0)
-        if len(hits) > len(live):
-            hits = hits[np.concatenate([[True], np.diff(own[hits]) > 0])]
-        close = (place[live] < near)[own] | (gap < 1e-8)
-        close[hits] = False
-        other = np.flatnonzero(close)
-        mine = own[other]
-        yield live, step, edges[hits], (live[mine], step[mine], edges[other], a[other], top[mine])
-        node = lat.tail[edges[hits]].astype(np.int64)
+        close = near[live]
+        edge = lat.ptr[node]
+        far = np.flatnonzero(~close)
+        u = ((mark[far] >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+        at, last = edge[far], lat.ptr[node[far] + 1] - 1
+        while len(far):
+            on = np.flatnonzero((u >= lat.upto[at]) & (at < last))
+            far, u, at, last = far[on], u[on], at[on] + 1, last[on]
+            edge[far] = at
+        mine = np.flatnonzero(close)
+        found = None
+        if len(mine):
+            lo, n = edge[mine], lat.ptr[node[mine] + 1] - edge[mine]
+            edges = _spread(lo, n)
+            own = np.repeat(np.arange(len(mine)), n)
+            begin = np.cumsum(n) - n
+            rank = np.arange(len(edges)) - begin[own]
+            a = lat.logp[edges] + gumbel(mix64(mark[mine][own] + rank.astype(np.uint64) * gold + np.uint64(1)))
+            top = np.maximum.reduceat(a, begin)
+            hits = np.flatnonzero(a == top[own])
+            if len(hits) > len(mine):
+                hits = hits[np.concatenate([[True], np.diff(own[hits]) > 0])]
+            edge[mine] = edges[hits]
+            others = np.ones(len(edges), bool)
+            others[hits] = False
+            others = np.flatnonzero(others)
+            o = mine[own[others]]
+            found = (live[o], step[o], edges[others], a[others], top[own[others]])
+        yield live, step, edge, found
+        node = lat.tail[edge].astype(np.int64)
         step = step + 1
         more = node > first[live]
         live, node, step = live[more], node[more], step[more]
@@ -297,9 +317,9 @@ class Sampler:
                 kept = tuple(np.concatenate([np.asarray(x) for x in xs]) if xs else np.zeros(0) for xs in (keep_o, keep_s, keep_e, keep_l))
             seed = mix64(self.seeds + np.uint64((draw + 1) * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF))[doc]
             start = np.where(fresh, node, first)
-            near = NEAR_WORDS
+            near = np.full(docs, NEAR_WORDS)
             while True:
-                got = list(walk(lat, start, first, place, step, seed, near))
+                got = list(walk(lat, start, first, place, step, seed, place < near[doc]))
                 o, s, e = (np.concatenate([x[i] for x in got]) if got else np.zeros(0, np.int64) for i in range(3))
                 size = np.bincount(o, minlength=len(occ))
                 begin = np.cumsum(size) - size - step  # an occurrence's choices stand by step
@@ -312,9 +332,10 @@ class Sampler:
                 run = np.concatenate([[0.0], np.cumsum(lp)])
                 text_at = np.concatenate([[0], np.cumsum(size)])[bounds]
                 phi = run[:-1] - (run[text_at[:-1]] - base)[doc[o]] if len(o) else lp
-                if self._siblings([x[3] for x in got], begin, phi, doc, value, agenda, draw, near, size):
+                open_ = self._siblings([x[3] for x in got if x[3]], begin, phi, doc, value, agenda, draw, near, size)
+                if not len(open_):
                     break
-                near = 1 << 62  # some text's first words leave too much open: look at all of them
+                near[open_] = 1 << 40  # the first words leave too much open: look at all of these texts
             if kept is not None and len(kept[0]):
                 ko, ks, ke, kl = kept
                 o, s, e, lp = np.concatenate([ko, o]).astype(np.int64), np.concatenate([ks, s]).astype(np.int64), np.concatenate([ke, e]).astype(np.int64), np.concatenate([kl, lp])
@@ -326,10 +347,12 @@ class Sampler:
                 paths[d].append((o[i:j], s[i:j], e[i:j], lp[i:j]) if alive[d] else None)
             yield alive.copy(), o, s, e, lp, value.copy()
 
-    def _siblings(self, rounds, begin, phi, doc, value, agenda, draw, near, size) -> bool:
+    def _siblings(self, rounds, begin, phi, doc, value, agenda, draw, near, size):
         """Put each text's best k + 1 - draw siblings of the new path on its agenda.
 
-        False, and nothing is put, if a sibling beyond the first ``near`` words might be among them.
+        Returns the texts where a sibling beyond the first ``near`` words might be among them; then nothing
+        is put. What is beyond has a total mass of exp(phi), so a leaf of it passes the floor with a chance
+        of about exp(phi - floor); under e^-25 that is nothing.
         """
         import numpy as np
 
@@ -350,14 +373,13 @@ class Sampler:
             nth = np.searchsorted(de, np.arange(docs)) + want - 1
             ok = (nth < len(de)) & (de[np.minimum(nth, len(de) - 1)] == np.arange(docs))
             floor[ok] = ve[nth[ok]]
-        far = np.flatnonzero(np.diff(self.bounds) > near)
-        if len(far):
-            at = self.bounds[far] + near
-            here = begin[at] + 0
+        beyond = np.flatnonzero(np.diff(self.bounds) > near)
+        if len(beyond):
+            at = self.bounds[beyond] + near[beyond]
             seen = size[at] > 0
-            # no noise of 53 bits is above 37
-            if (phi[here[seen]] + 37.0 + 20.0 >= floor[far[seen]]).any():
-                return False
+            open_ = beyond[seen][phi[begin[at[seen]]] + 25.0 >= floor[beyond[seen]]]
+            if len(open_):
+                return open_
         able = np.flatnonzero((part + 20.0 >= floor[d]) | (top - a < 1e-8))
         v = conditioned(value[d[able]], before[able], a[able], top[able])
         good = v >= floor[d[able]]
@@ -369,7 +391,7 @@ class Sampler:
             for i in range(lead[t], min(lead[t] + want, lead[t + 1])):
                 x = able[i]
                 agenda[t].append((float(v[i]), int(so[x]), int(ss[x]), int(se[x]), draw))
-        return True
+        return np.zeros(0, np.int64)
 
 
 def _ids(m: Model, o, s, pieces, n_occ: int):
@@ -402,7 +424,7 @@ def best_ids(m: Model, words: list[str]):
     if "" in words:  # a space mark alone; the library gives an empty text none
         lists[words.index("")] = [m.sp.piece_to_id(SPACE)]
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum()))
+    flat = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
     got = m.surface[_spread(m.surface_at[flat], m.surface_len[flat])]
     want = np.frombuffer("".join(SPACE + w for w in words).encode("utf-8", "surrogatepass"), np.uint8)
     if np.array_equal(got, want):
