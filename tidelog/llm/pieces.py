@@ -31,10 +31,10 @@ SPACE = "▁"
 SCALE = 0.0005
 SAMPLES = 2
 #: Characters of the texts whose words share lattices, and of those sampled together.
-GROUP_CHARS = 6_000_000
+GROUP_CHARS = 3_000_000
 SAMPLE_CHARS = 1_000_000
-#: Words of a text whose untaken choices are looked at first.
-NEAR_WORDS = 128
+#: Entropy of the words of a text whose untaken choices are looked at first.
+NEAR_NATS = 40.0
 UNKNOWN_PENALTY = 10.0
 CHUNKS = re.compile(f"{SPACE}+[^{SPACE}]*")
 
@@ -65,10 +65,13 @@ class Model:
         self.unknown = scale * (min(score[normal]) - UNKNOWN_PENALTY)
         self.logw = scale * score
         by: dict[int, list] = {}
+        #: by length, which hashes (by their first 18 bits) begin a piece of that length or more
+        self.begins = {k: np.zeros(1 << 18, bool) for k in range(1, self.longest + 1)}
         for i in normal:
             h = 0
-            for c in text[i]:
+            for k, c in enumerate(text[i]):
                 h = (h * int(self.mult) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+                self.begins[k + 1][h >> 46] = True
             by.setdefault(len(text[i]), []).append((h, i))
         self.keys, self.ids, self.sieve = {}, {}, {}
         for length, rows in by.items():
@@ -127,7 +130,7 @@ class Lattices:
         at = np.arange(len(code)) - offs[word]
         left = lens[word] - at
         base = offs + np.arange(len(full))  # node of each word's start
-        here = np.arange(len(code))
+        here = np.arange(len(code), dtype=np.int32)
         h = np.zeros(len(code), np.uint64)
         single = np.zeros(len(code), bool)
         start, length, piece = [], [], []
@@ -137,9 +140,12 @@ class Lattices:
             if not len(here):
                 break
             h = h * m.mult + (code[here + n - 1].astype(np.uint64) + np.uint64(1))
+            slot = (h >> np.uint64(46)).astype(np.int64)
+            keep = m.begins[n][slot]
+            here, h, slot = here[keep], h[keep], slot[keep]
             if n not in m.keys:
                 continue
-            maybe = np.flatnonzero(m.sieve[n][(h >> np.uint64(46)).astype(np.int64)])
+            maybe = np.flatnonzero(m.sieve[n][slot])
             k = np.searchsorted(m.keys[n], h[maybe])
             k[k == len(m.keys[n])] = 0
             ok = m.keys[n][k] == h[maybe]
@@ -176,6 +182,9 @@ class Lattices:
         # running sums over a node's edges, for draws of one edge without its siblings
         self.upto = np.exp(self.logp)
         degree = np.diff(self.ptr)
+        self.entropy = np.zeros(nodes)
+        own = degree > 0
+        self.entropy[own] = np.add.reduceat(-self.upto * self.logp, self.ptr[:-1][own]) if len(self.logp) else 0.0
         for r in range(1, int(degree.max(initial=0))):
             at = self.ptr[:-1][degree > r] + r
             self.upto[at] += self.upto[at - 1]
@@ -266,7 +275,13 @@ class Sampler:
     """k distinct segmentations for each text of a group."""
 
     def __init__(self, lat: Lattices, occ, bounds, seeds, k: int):
+        import numpy as np
+
         self.lat, self.occ, self.bounds, self.seeds, self.k = lat, occ, bounds, seeds, k
+        # Words of each text whose untaken choices are looked at first: as many as leave so little mass
+        # open, going by the entropy of their last choice, that a later one can hardly matter.
+        run = np.concatenate([[0.0], np.cumsum(lat.entropy[lat.last[occ]])])
+        self.near = np.searchsorted(run, run[bounds[:-1]] + NEAR_NATS) - bounds[:-1] + 1
 
     def run(self):
         import numpy as np
@@ -317,25 +332,31 @@ class Sampler:
                 kept = tuple(np.concatenate([np.asarray(x) for x in xs]) if xs else np.zeros(0) for xs in (keep_o, keep_s, keep_e, keep_l))
             seed = mix64(self.seeds + np.uint64((draw + 1) * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF))[doc]
             start = np.where(fresh, node, first)
-            near = np.full(docs, NEAR_WORDS)
+            near = self.near.copy()
+            o, s, e, rounds = self._draw(start, place, step, seed, place < near[doc])
             while True:
-                got = list(walk(lat, start, first, place, step, seed, place < near[doc]))
-                o, s, e = (np.concatenate([x[i] for x in got]) if got else np.zeros(0, np.int64) for i in range(3))
                 size = np.bincount(o, minlength=len(occ))
                 begin = np.cumsum(size) - size - step  # an occurrence's choices stand by step
-                at = begin[o] + s
                 order = np.empty(len(o), np.int64)
-                order[at] = np.arange(len(o))
+                order[begin[o] + s] = np.arange(len(o))
                 o, s, e = o[order], s[order], e[order]
                 lp = lat.logp[e]
                 # log-probability before each choice, summed within its text
                 run = np.concatenate([[0.0], np.cumsum(lp)])
                 text_at = np.concatenate([[0], np.cumsum(size)])[bounds]
                 phi = run[:-1] - (run[text_at[:-1]] - base)[doc[o]] if len(o) else lp
-                open_ = self._siblings([x[3] for x in got if x[3]], begin, phi, doc, value, agenda, draw, near, size)
-                if not len(open_):
+                again = self._siblings(rounds, begin, phi, doc, value, agenda, draw, near, size)
+                if not len(again):
                     break
-                near[open_] = 1 << 40  # the first words leave too much open: look at all of these texts
+                # the first words leave too much open: look at all words of these texts
+                near[again] = 1 << 40
+                redo = np.zeros(docs, bool)
+                redo[again] = True
+                redo = redo[doc]
+                more = self._draw(np.where(redo, start, first), place, step, seed, redo)
+                keep = ~redo[o]
+                o, s, e = (np.concatenate([x[keep], y]) for x, y in zip((o, s, e), more[:3], strict=True))
+                rounds = [tuple(x[~redo[r[0]]] for x in r) for r in rounds] + more[3]
             if kept is not None and len(kept[0]):
                 ko, ks, ke, kl = kept
                 o, s, e, lp = np.concatenate([ko, o]).astype(np.int64), np.concatenate([ks, s]).astype(np.int64), np.concatenate([ke, e]).astype(np.int64), np.concatenate([kl, lp])
@@ -347,6 +368,13 @@ class Sampler:
                 paths[d].append((o[i:j], s[i:j], e[i:j], lp[i:j]) if alive[d] else None)
             yield alive.copy(), o, s, e, lp, value.copy()
 
+    def _draw(self, start, place, step, seed, near):
+        import numpy as np
+
+        got = list(walk(self.lat, start, self.lat.first[self.occ], place, step, seed, near))
+        o, s, e = (np.concatenate([x[i] for x in got]) if got else np.zeros(0, np.int64) for i in range(3))
+        return o, s, e, [x[3] for x in got if x[3]]
+
     def _siblings(self, rounds, begin, phi, doc, value, agenda, draw, near, size):
         """Put each text's best k + 1 - draw siblings of the new path on its agenda.
 
