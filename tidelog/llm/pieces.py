@@ -17,6 +17,7 @@ row's samples do not depend on how rows are dealt to tasks.
 
 from __future__ import annotations
 
+import contextlib
 import re
 from itertools import chain
 
@@ -31,8 +32,8 @@ SPACE = "▁"
 SCALE = 0.0005
 SAMPLES = 2
 #: Characters of the texts whose words share lattices, and of those sampled together.
-GROUP_CHARS = 3_000_000
-SAMPLE_CHARS = 1_000_000
+GROUP_CHARS = 1_200_000
+SAMPLE_CHARS = 400_000
 #: Entropy of the words of a text whose untaken choices are looked at first.
 NEAR_NATS = 40.0
 UNKNOWN_PENALTY = 10.0
@@ -462,6 +463,17 @@ def best_ids(m: Model, words: list[str]):
     return flat, sizes, same
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker stays, idle, beside the executor's other stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def digest(ids, bounds):
     """An order-dependent 64-bit digest of each range of ids."""
     import numpy as np
@@ -604,6 +616,7 @@ def encode(docs: DataFrame, samples: int = SAMPLES, ids: bool = True, path: str
                 size += len(t)
             if held:
                 yield group(doc_ids[len(doc_ids) - len(held) :], held)
+            give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
