@@ -81,8 +81,10 @@ class Model:
                 raise ValueError("two pieces share a hash")
             self.keys[length] = np.array([h for h, _ in rows], np.uint64)
             self.ids[length] = np.array([i for _, i in rows], np.int32)
-            sieve = np.zeros(1 << 18, bool)
-            sieve[(self.keys[length] >> np.uint64(46)).astype(np.int64)] = True
+            # by a hash's first 18 bits: the place of the only key with them, -1 for none, -2 for several
+            slots, n_keys = np.unique((self.keys[length] >> np.uint64(46)).astype(np.int64), return_counts=True)
+            sieve = np.full(1 << 18, -1, np.int32)
+            sieve[slots] = np.where(n_keys == 1, np.cumsum(n_keys) - 1, -2)
             self.sieve[length] = sieve
         surface = [b""] * n
         for i, t in text.items():
@@ -146,9 +148,12 @@ class Lattices:
             here, h, slot = here[keep], h[keep], slot[keep]
             if n not in m.keys:
                 continue
-            maybe = np.flatnonzero(m.sieve[n][slot])
-            k = np.searchsorted(m.keys[n], h[maybe])
-            k[k == len(m.keys[n])] = 0
+            k = m.sieve[n][slot]
+            maybe = np.flatnonzero(k != -1)
+            k = k[maybe]
+            several = np.flatnonzero(k == -2)
+            if len(several):
+                k[several] = np.minimum(np.searchsorted(m.keys[n], h[maybe[several]]), len(m.keys[n]) - 1)
             ok = m.keys[n][k] == h[maybe]
             hit = here[maybe[ok]]
             if n == 1:
@@ -168,7 +173,7 @@ class Lattices:
         head = head[order]
         logw = np.where(self.piece >= 0, m.logw[np.maximum(self.piece, 0)], m.unknown)
         nodes = len(code) + len(full)
-        self.ptr = np.searchsorted(head, np.arange(nodes + 1))
+        self.ptr = np.concatenate([[0], np.cumsum(np.bincount(head, minlength=nodes))])
         self.first, self.last = base, base + lens
         total = np.full(nodes, -np.inf)
         total[base] = 0.0
