@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding, with Gumbel top-k sampling of distinct segmentations.
 
 No piece has a space mark after another character, so the lattice of a text falls apart at each run of
-space marks: it is a chain of word lattices, and each distinct word's lattice is built once for a group of
-texts. A forward pass gives every node's total weight, hence the exact probability of each last piece; the
+space marks: it is a chain of word lattices, and a worker keeps those of the words it has met (see Store).
+A forward pass gives every node's total weight, hence the exact probability of each last piece; the
 segmentations of a text are the leaves of a tree whose branches are these choices, word by word.
 
 The search is A* over that tree with perturbed log-probabilities (Kool et al., 2019): the root draws a
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import contextlib
 import re
-from itertools import chain
+from itertools import chain, repeat
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,15 +31,17 @@ SPACE = "▁"
 #: Log-weight of a piece: its score in the model times this.
 SCALE = 0.0005
 SAMPLES = 2
-#: Characters of the texts whose words share lattices, and of those sampled together.
-GROUP_CHARS = 1_200_000
-SAMPLE_CHARS = 400_000
+#: Characters of the texts sampled together.
+GROUP_CHARS = 400_000
+#: Edges of the word lattices that a worker keeps; a word has 20 or so.
+MAX_EDGES = 5_000_000
 #: Entropy of the words of a text whose untaken choices are looked at first.
 NEAR_NATS = 40.0
 UNKNOWN_PENALTY = 10.0
 CHUNKS = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 _models: dict = {}
+_stores: dict = {}
 
 
 def model_path(name: str = MODEL) -> str:
@@ -196,6 +198,108 @@ class Lattices:
             self.upto[at] += self.upto[at - 1]
 
 
+class Store:
+    """Lattices and best ids of words met so far, side by side in arrays with room to grow.
+
+    A worker keeps one across groups and tasks. Past MAX_EDGES it keeps only the words that several groups
+    had, under half of that; so it is bounded by MAX_EDGES and the words of one group, whatever the input.
+    A word's lattice and its ids do not depend on what else is held.
+    """
+
+    NODES, EDGES = ("ptr", "entropy"), ("tail", "piece", "logp", "upto")
+
+    def __init__(self, m: Model):
+        import numpy as np
+
+        self.m, self.index = m, {}
+        self.n = {"word": 0, "node": 0, "edge": 0, "id": 0}
+        kinds = {"first": np.int64, "last": np.int64, "best_at": np.int64, "best_n": np.int64, "same": bool, "uses": np.int32}
+        for k, t in (kinds | {"ptr": np.int64, "entropy": np.float64, "tail": np.int32, "piece": np.int32, "logp": np.float64, "upto": np.float64, "best": np.int32}).items():
+            setattr(self, k, np.zeros(16, t))
+
+    def _put(self, name: str, at: int, values) -> None:
+        import numpy as np
+
+        held = getattr(self, name)
+        if at + len(values) > len(held):
+            room = np.empty(max(len(held) * 3 // 2, at + len(values)), held.dtype)
+            room[:at] = held[:at]
+            setattr(self, name, room)
+            held = room
+        held[at : at + len(values)] = values
+
+    def _append(self, words, first, last, ptr, entropy, tail, piece, logp, upto, best, sizes, same, uses) -> None:
+        """Words whose nodes, edges and ids are numbered from 0."""
+        import numpy as np
+
+        w, nodes, edges, n_ids = self.n.values()
+        if nodes + len(ptr) >= 1 << 31:
+            raise ValueError("too many characters in one group")
+        for name, at, values in (
+            ("first", w, first + nodes), ("last", w, last + nodes), ("best_at", w, np.cumsum(sizes) - sizes + n_ids), ("best_n", w, sizes), ("same", w, same), ("uses", w, uses),
+            ("ptr", nodes, ptr + edges), ("entropy", nodes, entropy), ("tail", edges, tail + np.int32(nodes)), ("piece", edges, piece), ("logp", edges, logp), ("upto", edges, upto), ("best", n_ids, best),
+        ):
+            self._put(name, at, values)
+        self.index.update(zip(words, range(w, w + len(words)), strict=True))
+        self.n = {"word": w + len(words), "node": nodes + len(ptr) - 1, "edge": edges + len(tail), "id": n_ids + len(best)}
+
+    def _shrink(self) -> None:
+        import numpy as np
+
+        n = self.n["word"]
+        cost = self.ptr[self.last[:n] + 1] - self.ptr[self.first[:n]]
+        order = np.argsort(-self.uses[:n], kind="stable")
+        order = order[(self.uses[order] > 1) & (np.cumsum(cost[order]) <= MAX_EDGES // 2)]
+        names = list(self.index)  # in order of their numbers
+        first, size, cost = self.first[order], (self.last - self.first)[order] + 1, cost[order]
+        node_at, edge_at = np.cumsum(size) - size, np.cumsum(cost) - cost
+        nodes, edges = _spread(first, size), _spread(self.ptr[first], cost)
+        ids = _spread(self.best_at[order], self.best_n[order])
+        ptr = np.concatenate([self.ptr[nodes] - np.repeat(self.ptr[first] - edge_at, size), [int(cost.sum())]])
+        tail = self.tail[edges] - np.repeat(first - node_at, cost)
+        kept = ([names[i] for i in order.tolist()], node_at, node_at + size - 1, ptr, self.entropy[nodes], tail.astype(np.int32), *(getattr(self, k)[edges] for k in ("piece", "logp", "upto")))
+        kept += (self.best[ids], self.best_n[order], self.same[order], self.uses[order] // 2)
+        self.__init__(self.m)
+        self._append(*kept)
+
+    def numbers(self, words: list[str]):
+        """Number of each of a group's distinct words, after adding the new ones."""
+        import numpy as np
+
+        find = lambda: np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        at = find()
+        if self.n["edge"] > MAX_EDGES and (at < 0).any():
+            self._shrink()
+            at = find()
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = [words[i] for i in new.tolist()]
+            best, sizes, same = best_ids(self.m, fresh)
+            lat = Lattices(self.m, fresh)
+            at[new] = np.arange(len(fresh)) + self.n["word"]
+            self._append(fresh, lat.first, lat.last, lat.ptr, lat.entropy, lat.tail, lat.piece, lat.logp, lat.upto, best, sizes, same, np.zeros(len(fresh), np.int32))
+        self.uses[at] += 1
+        return at
+
+
+def store(m: Model) -> Store:
+    if m not in _stores:
+        _stores[m] = Store(m)
+    return _stores[m]
+
+
+def split_words(texts: list[str]):
+    """Distinct words of a group of texts, the number of each word in turn, and where each text's words begin."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    plain = [(t if t[0] != " " and "  " not in t and SPACE not in t else " ".join(words_of(t))) if t else None for t in texts]
+    lists = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+    coded = lists.values.dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+
+
 def mix64(x):
     """splitmix64's finaliser on an array of unsigned integers."""
     import numpy as np
@@ -493,34 +597,16 @@ def encode_group(m: Model, texts: list[str], seeds, k: int):
     """For each text: best ids, round trip, and k samples as ``(alive, ids, bounds, log p, log inclusion)``."""
     import numpy as np
 
-    index: dict[str, int] = {}
-    occ, bounds = [], [0]
-    for t in texts:
-        occ += [index.setdefault(w, len(index)) for w in words_of(t)]
-        bounds.append(len(occ))
-    occ, bounds = np.array(occ, np.int64), np.array(bounds, np.int64)
-    words = list(index)
-    flat, sizes, same = best_ids(m, words) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
-    n = sizes[occ]
-    ids = flat[_spread((np.cumsum(sizes) - sizes)[occ], n)] if len(occ) else flat
+    words, occ, bounds = split_words(texts)
+    held = store(m)
+    occ = held.numbers(words)[occ] if words else np.zeros(0, np.int64)
+    n = held.best_n[occ]
+    ids = held.best[_spread(held.best_at[occ], n)]
     ends = np.concatenate([[0], np.cumsum(n)])
-    bad = np.concatenate([[0], np.cumsum(~same[occ])]) if len(occ) else np.zeros(1, np.int64)
+    bad = np.concatenate([[0], np.cumsum(~held.same[occ])])
     marked = np.array([SPACE in t for t in texts], bool)
     best = (ids, ends[bounds], (bad[bounds[1:]] == bad[bounds[:-1]]) & ~marked)
-    drawn = [[] for _ in range(k)]
-    if k and len(occ):
-        lat = Lattices(m, words)
-        size, lo = 0, 0
-        for hi in range(1, len(texts) + 1):
-            size += len(texts[hi - 1])
-            if hi == len(texts) or size + len(texts[hi]) > SAMPLE_CHARS:
-                for j, part in enumerate(_sample(m, lat, occ[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], seeds[lo:hi], k)):
-                    drawn[j].append(part)
-                size, lo = 0, hi
-        drawn = [_joined(x) for x in drawn]
-    else:
-        drawn = []
-    return best, drawn
+    return best, _sample(m, held, occ, bounds, seeds, k) if k and len(occ) else []
 
 
 def _sample(m, lat, occ, bounds, seeds, k):
@@ -547,15 +633,6 @@ def _sample(m, lat, occ, bounds, seeds, k):
     return out
 
 
-def _joined(parts):
-    import numpy as np
-
-    alive, got, cut, total, inc = zip(*parts, strict=True)
-    shift = np.cumsum([0, *(len(g) for g in got)])
-    bounds = np.concatenate([[0], *(c[1:] + at for c, at in zip(cut, shift, strict=False))])
-    return np.concatenate(alive), np.concatenate(got), bounds, np.concatenate(total), np.concatenate(inc)
-
-
 def encode(docs: DataFrame, samples: int = SAMPLES, ids: bool = True, path: str | None = None, scale: float = SCALE, id_col: str = "doc_id", text_col: str = "text", group_chars: int = GROUP_CHARS) -> DataFrame:
     """``doc_id, n_tokens, digest, round_trip, samples`` and, with ids, ``ids``: a row for each row of docs.
 
