@@ -34,7 +34,7 @@ SAMPLES = 2
 #: Characters of the texts sampled together.
 GROUP_CHARS = 400_000
 #: Edges of the word lattices that a worker keeps; a word has 20 or so.
-MAX_EDGES = 5_000_000
+MAX_EDGES = 7_000_000
 #: Entropy of the words of a text whose untaken choices are looked at first.
 NEAR_NATS = 40.0
 UNKNOWN_PENALTY = 10.0
@@ -167,7 +167,8 @@ class Lattices:
         start.append(rest)
         length.append(np.ones(len(rest), np.int64))
         piece.append(-code[rest].astype(np.int64) - 1)
-        start, length, piece = np.concatenate(start), np.concatenate(length), np.concatenate(piece)
+        # the longest piece of a node first: the likeliest, so that a draw by running sums ends soon
+        start, length, piece = (np.concatenate(x[::-1]) for x in (start, length, piece))
         tail = start + word[start]  # node id: one more node than characters in each word
         head = tail + length
         order = np.argsort(head, kind="stable")
@@ -215,7 +216,8 @@ class Store:
         self.n = {"word": 0, "node": 0, "edge": 0, "id": 0}
         kinds = {"first": np.int64, "last": np.int64, "best_at": np.int64, "best_n": np.int64, "same": bool, "uses": np.int32}
         for k, t in (kinds | {"ptr": np.int64, "entropy": np.float64, "tail": np.int32, "piece": np.int32, "logp": np.float64, "upto": np.float64, "best": np.int32}).items():
-            setattr(self, k, np.zeros(16, t))
+            # pages of an empty array take no memory until they are written
+            setattr(self, k, np.empty(MAX_EDGES if k in self.EDGES else MAX_EDGES // 2 if k in self.NODES else 1024, t))
 
     def _put(self, name: str, at: int, values) -> None:
         import numpy as np
@@ -454,7 +456,7 @@ class Sampler:
                 # log-probability before each choice, summed within its text
                 run = np.concatenate([[0.0], np.cumsum(lp)])
                 text_at = np.concatenate([[0], np.cumsum(size)])[bounds]
-                phi = run[:-1] - (run[text_at[:-1]] - base)[doc[o]] if len(o) else lp
+                phi = run[:-1] - np.repeat(run[text_at[:-1]] - base, np.diff(text_at))
                 again = self._siblings(rounds, begin, phi, doc, value, agenda, draw, near, size)
                 if not len(again):
                     break
@@ -472,7 +474,7 @@ class Sampler:
                 o, s, e, lp = np.concatenate([ko, o]).astype(np.int64), np.concatenate([ks, s]).astype(np.int64), np.concatenate([ke, e]).astype(np.int64), np.concatenate([kl, lp])
                 order = np.argsort(o * 4096 + s, kind="stable")
                 o, s, e, lp = o[order], s[order], e[order], lp[order]
-            edge_of = np.searchsorted(doc[o] if len(o) else o, np.arange(docs + 1))
+            edge_of = np.searchsorted(o, bounds)
             for d in range(docs):
                 i, j = edge_of[d], edge_of[d + 1]
                 paths[d].append((o[i:j], s[i:j], e[i:j], lp[i:j]) if alive[d] else None)
@@ -616,12 +618,11 @@ def _sample(m, lat, occ, bounds, seeds, k):
         none = np.zeros(len(seeds))
         return [(np.zeros(len(seeds), bool), np.zeros(0, np.int64), np.zeros(len(bounds), np.int64), none, none)] * k
     sampler = Sampler(lat, occ, bounds, seeds, k)
-    doc = np.repeat(np.arange(len(seeds)), np.diff(bounds))
     drawn = []
     for alive, o, s, e, lp, _ in sampler.run():
         got, size = _ids(m, o, s, lat.piece[e], len(occ))
         cut = np.concatenate([[0], np.cumsum(size)])[bounds]
-        total = np.bincount(doc[o], weights=lp, minlength=len(seeds)) if len(o) else np.zeros(len(seeds))
+        total = np.bincount(np.repeat(np.arange(len(seeds)), np.diff(np.searchsorted(o, bounds))), weights=lp, minlength=len(seeds))
         drawn.append((alive & (np.diff(bounds) > 0), got, cut, total))
     kappa = sampler.kappa
     out = []
