@@ -364,3 +364,28 @@ def test_pipeline(spark, real):
     assert not [r for r in masked.collect() if re.search(r"[0-9a-f]{24,}", r.text or "")]
     assert collections.Counter(r.doc_id for r in last.collect()) == collections.Counter(r.doc_id for r in mixed.collect())
     assert c.run(spark, SF).count() == last.count()
+
+
+def test_pieces_held_lattices_do_not_matter(monkeypatch):
+    import numpy as np
+
+    m = pieces.model(pieces.model_path(), pieces.SCALE)
+    texts = ["the cat sat on the mat", " two  spaces ▁ here ", "", "ünïcode \U0001f600 words the the", "", "many other words on a new mat " * 9] * 3
+    seeds = pieces.mix64(np.arange(len(texts), dtype=np.uint64))
+
+    def each():
+        out = []
+        for i in range(len(texts)):
+            (ids, _, same), drawn = pieces.encode_group(m, texts[i : i + 1], seeds[i : i + 1], 2)
+            out.append((ids.tolist(), same.tolist(), [(a.tolist(), got.tolist(), np.round(lp, 9).tolist()) for a, got, _, lp, _ in drawn]))
+        return out
+
+    whole = each()
+    monkeypatch.setattr(pieces, "MAX_EDGES", 60)
+    pieces._stores.clear()
+    assert each() == whole
+    assert len(pieces.store(m).index) < len({w for t in texts for w in pieces.words_of(t)})
+    pieces._stores.clear()
+    for t in texts:
+        words, occ, bounds = pieces.split_words([t])
+        assert [words[i] for i in occ] == pieces.words_of(t) and bounds.tolist() == [0, len(occ)]

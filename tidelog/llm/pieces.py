@@ -34,7 +34,7 @@ SAMPLES = 2
 #: Characters of the texts sampled together.
 GROUP_CHARS = 400_000
 #: Edges of the word lattices that a worker keeps; a word has 20 or so.
-MAX_EDGES = 7_000_000
+MAX_EDGES = 4_000_000
 #: Entropy of the words of a text whose untaken choices are looked at first.
 NEAR_NATS = 40.0
 UNKNOWN_PENALTY = 10.0
