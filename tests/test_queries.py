@@ -50,6 +50,16 @@ def test_priority_paced_against_a_plain_loop(spark):
     assert sorted((r.k, r.msg_id) for r in got) == want
 
 
+def test_index_floor_of_every_message(spark):
+    from tidelog.plans import catalogue
+
+    log = sorted((r.segment, r.msg_id) for r in catalogue._offsets(spark, SF).collect())
+    index = [(r.segment, r.msg_id, r.offset) for r in QUERIES["sparse_index"](spark, SF).collect()]
+    want = [(g, i, *max((x, o) for h, x, o in index if h == g and x <= i)) for g, i in log]
+    got = sorted(tuple(r) for r in QUERIES["index_floor_lookup_all"](spark, SF).collect())
+    assert got == want and len(got) == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
 def test_driver_contract(spark):
     import __spark_entry__ as e
 

@@ -279,6 +279,13 @@ def index_floor_lookup(spark, d):
     return segments.index_floor(segments.sparse_index(log), log.where("msg_id % 97 = 0").select("segment", "msg_id"))
 
 
+@query("index_floor_lookup_all", f'WITH RECURSIVE {M}, {INDEX} SELECT q.segment, q.msg_id, x.msg_id AS floor_id, x."offset" AS floor_offset FROM q ASOF JOIN x ON x.segment = q.segment AND x.msg_id <= q.msg_id')
+def index_floor_lookup_all(spark, d):
+    """Every message is looked up; the query above is a sample of it."""
+    log = _offsets(spark, d)
+    return segments.index_floor(segments.sparse_index(log), log.select("segment", "msg_id"))
+
+
 def _retained(policy: Retention) -> str:
     hits = ["false"]
     if policy.max_age:
