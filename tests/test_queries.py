@@ -60,6 +60,15 @@ def test_index_floor_of_every_message(spark):
     assert got == want and len(got) == spark.read.parquet(f"{SF}/events.parquet").count()
 
 
+def test_payload_preview_of_every_document(spark, tmp_path):
+    texts = [None, "", "short", "é", "a" * 100, "a" * 101, "é" * 50, "é" * 51, "a" + "é" * 50, "aa" + "漢" * 40, "\U0001f600" * 26, "a" * 99 + "é"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    raw = [t if t is None else t.encode() for t in texts]
+    want = [b if b is None else b if len(b) <= 100 else b[:100] + b"..." for b in raw]
+    got = {r.doc_id: r.preview_hex for r in QUERIES["payload_preview_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: b if b is None else b.hex().upper() for i, b in enumerate(want)}
+
+
 def test_driver_contract(spark):
     import __spark_entry__ as e
 

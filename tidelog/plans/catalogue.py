@@ -180,6 +180,12 @@ def payload_preview(spark, d):
     return docs.select("doc_id", expr.preview(F.col("text").cast("binary")).cast("string").alias("preview"))
 
 
+@query("payload_preview_all", "SELECT doc_id, CASE WHEN strlen(text) > 100 THEN left(hex(text), 200) || '2E2E2E' ELSE hex(text) END AS preview_hex FROM documents")
+def payload_preview_all(spark, d):
+    """Every document; in hex, as a cut may fall inside a character."""
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.hex(expr.preview(F.col("text").cast("binary"))).alias("preview_hex"))
+
+
 @query("entry_bytes", f"WITH {M} SELECT msg_id, bytes FROM b")
 def entry_bytes(spark, d):
     return logs.messages(spark, d).select("msg_id", "bytes")
