@@ -293,6 +293,21 @@ def test_pages(spark):
     assert got == [main, main, "", "", "cut off &am", "no markup", "One. Two.\nThr"]
 
 
+BODY = "<p>The first long sentence of the text stands here, with commas, and goes on. It has a second one, too.</p>" * 3
+
+
+def test_pages_scores_choose():
+    body = "\n".join(pages.main_text(BODY).split("\n")[:1])
+    want = [body] * 3
+    plain = f"<body><div class=top><a href=x>Home</a></div><div class=content><h2>Title</h2>{BODY}</div><div><a href=y>More links here</a></div>"
+    assert pages.main_text(plain).split("\n") == ["Title", *want]
+    links = "".join(f"<div class=x{i}><a href=y>Go</a></div>" for i in range(6))
+    teaser = f"<body><div class=content><h2>Title</h2>{BODY}</div>{links}<article class=card><p>Read on</p></article>"
+    assert pages.main_text(teaser).split("\n") == ["Title", *want]
+    several = f"<body><main><article class=one id=a><h2>A</h2>{BODY}</article><article class=two id=b><h2>B</h2>{BODY}</article></main>"
+    assert pages.main_text(several).split("\n") == ["A", *want, "B", *want]
+
+
 @pytest.mark.parametrize("which", ["docs", "real"])
 def test_pieces(request, which):
     df = request.getfixturevalue(which)

@@ -3,9 +3,9 @@
 A page is split into blocks, each with its root-to-leaf path of block tags and their classes. Text length
 and punctuation are summed for each path and divided by its number of blocks; link text counts against
 it. Paths in order of first appearance are smoothed with a Gaussian, length and punctuation ratios are
-fused by their product, and paths above a share of the spread are content. The content paths name the
-container (the innermost article, main or like element above the best one); paths inside it are content
-with it, so that headings and one-word paragraphs stay. Paths through menus, headers, footers, sidebars,
+fused by their product, and paths above a share of the spread, and the best one, are content wherever
+they stand. The containers (innermost article or main) that hold a content path make all paths inside
+them content too, so that headings and one-word paragraphs stay; they take nothing away. Paths through menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments are noise whatever their ratios.
 """
 
@@ -99,6 +99,14 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], bool, int]]:
     return out
 
 
+def container(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The path down to its innermost article or main, empty if it has none."""
+    for i in range(len(path), 0, -1):
+        if path[i - 1].split(".", 1)[0] in CONTAINERS:
+            return path[:i]
+    return ()
+
+
 def content_blocks(found, spread: float = 0.5, width: float = 1.0) -> list[str]:
     """Texts of the blocks on content paths."""
     live = [b for b in found if not b[2]]
@@ -129,21 +137,14 @@ def content_blocks(found, spread: float = 0.5, width: float = 1.0) -> list[str]:
     limit = spread * math.sqrt(sum((s - mean) ** 2 for s in score) / len(score))
     picked = {p for p, s in zip(paths, score, strict=True) if s >= limit}
     best = max(range(len(paths)), key=lambda i: (own[i], -i))
-    tag = lambda step: step.split(".", 1)[0]
-    root = paths[best][:-1]
-    for i in range(len(paths[best]) - 1, -1, -1):
-        if tag(paths[best][i]) in CONTAINERS:
-            root = paths[best][: i + 1]
-            break
-    else:
-        inside = [p for p in paths if any(tag(s) in CONTAINERS for s in p)]
-        if inside:
-            k = next(i for i, s in enumerate(inside[0]) if tag(s) in CONTAINERS)
-            root = inside[0][: k + 1]
-    if any(tag(s) in CONTAINERS for s in root):
-        content = {p for p in paths if p[: len(root)] == root}
-    else:
-        content = {p for p in paths if p[: len(root)] == root and (p in picked or len(p) <= len(root) + 1 and order[p][3] <= order[p][0])} | {paths[best]}
+    # the scores choose; a container adds what is inside it with a chosen path, and takes nothing away
+    # (a path of links alone, which smoothing lifts, counts only beside the best one)
+    near = paths[best][:-1]
+    chosen = {p for p in picked if order[p][0] or p[: len(near)] == near} | {paths[best]}
+    holds = {root for p in chosen if (root := container(p))}
+    content = chosen | {p for p in paths if any(p[: len(root)] == root for root in holds)}
+    if not container(paths[best]):  # headings and short paragraphs beside the best path
+        content |= {p for p in paths if p[: len(near)] == near and len(p) <= len(near) + 1 and order[p][3] <= order[p][0]}
     return [text for text, path, _, _ in live if path in content]
 
 
