@@ -308,6 +308,19 @@ def test_pages_scores_choose():
     assert pages.main_text(several).split("\n") == ["A", *want, "B", *want]
 
 
+def test_pages_named_wrappers():
+    want = pages.main_text(BODY)
+    for name in ("content no-sidebar", "with-sidebar", "post-comments-open", "has-nav", "sidebar", "site-banner main-menu"):
+        assert pages.main_text(f"<body><div class='{name}'><article><h1>T</h1>{BODY}</article></div><div class=ad>Buy now, please.</div>") == "T\n" + want, name
+    for name in ("content no-sidebar", "with-sidebar", "sidebar"):
+        assert pages.main_text(f"<body><div class='{name}'>{BODY}</div>") == want, name
+    assert pages.main_text(f"<article><div class=entry-header><h1>T</h1></div>{BODY}<div class='ad'>Buy now, please.</div></article>") == "T\n" + want
+    related = "<div class=related><article class=card><p>Another text, a short one.</p></article></div>"
+    assert pages.main_text(f"<body><div class=no-sidebar><article>{BODY}</article></div>{related}") == want
+    assert pages.main_text(f"<body><div class=content>{BODY}</div>{related}") == want
+    assert pages.main_text(f"<article>{BODY}</article><div class=comments><article>{BODY.replace('text', 'remark') * 3}</article></div>") == want
+
+
 @pytest.mark.parametrize("which", ["docs", "real"])
 def test_pieces(request, which):
     df = request.getfixturevalue(which)

@@ -40,20 +40,35 @@ NOISE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adverts|sponsor\w*|promo\w*|banner\w*|sidebar\w*|side|menu\w*|nav\w*|breadcrumbs?|cookies?\w*|consent|gdpr|notices?|alert\w*|popup\w*|modal\w*|overlay|newsletter\w*|subscribe|signup|login|share|sharing|social\w*|related|recommend\w*|comments?|commentlist|replies|reply|disqus|respond|footer\w*|foot|header|masthead|topbar|toolbar|widget\w*|pagination|pager|skip|hidden|print-only)(?:$|[\s_-])",
     re.I,
 )
+#: Names of what holds others' articles: noise beside an article that no name marks, however long they are.
+OTHERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|replies|reply|disqus|respond|related|recommend\w*|sponsor\w*|promo\w*|ads?|advert\w*)(?:$|[\s_-])", re.I)
+#: Names that tell of a layout, or of an article's own header: no noise.
+LAYOUT_NAMES = re.compile(r"(?:^|(?<=\s))(?:[\w-]*[_-])?(?:(?:no|with|has|without|hide|show)[_-][\w-]+|[\w-]+[_-](?:layout|open|closed|enabled|disabled|wrapper|container)|(?:entry|post|article|content|story|page|section)[_-]+header)(?=$|\s)", re.I)
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？]")
 
 
+def named_noise(label: str) -> bool:
+    return bool(NOISE_NAMES.search(LAYOUT_NAMES.sub("", label)))
+
+
 def blocks(page: str) -> list[tuple[str, tuple[str, ...], bool, int]]:
-    """``text, path, noise, link characters`` of each block with text, in page order."""
-    stack: list[tuple[str, str, bool]] = [("", "", False)]  # tag, step of the path, noise
+    """``text, path, noise, link characters`` of each block with text, in page order.
+
+    A name does not make noise of an element around the page's largest article or main, if that is at least as
+    long as the longest path elsewhere, nor of anything if no text would be left. Comments and the like beside
+    an unmarked article stay noise.
+    """
+    # tag, step of the path, noise, numbers of the open elements that a name makes noise of and of the open containers
+    stack: list[tuple[str, str, bool, tuple, tuple]] = [("", "", False, (), ())]
     inline_links = 0
     out, buffer, links = [], [], []
+    number, around, others = 0, {}, set()
 
     def flush():
         text = " ".join(_html.unescape("".join(buffer)).split())
         if text:
-            out.append((text, tuple(s for _, s, _ in stack[1:]), stack[-1][2], sum(map(len, links))))
+            out.append((text, tuple(x[1] for x in stack[1:]), stack[-1][2], sum(map(len, links)), *stack[-1][3:]))
         buffer.clear()
         links.clear()
 
@@ -90,13 +105,46 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], bool, int]]:
             stack.pop()
         attrs = {k.lower(): (a or b or c) for k, a, b, c in ATTR.findall(m[4] or "")} if m[4] else {}
         label = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
-        in_content = any(t in CONTAINERS for t, _, _ in stack)
+        in_content = bool(stack[-1][4])
         noise = stack[-1][2] or (name in NOISE_TAGS and not (name == "header" and in_content))
-        noise = noise or bool(label and name not in ("html", "body") and NOISE_NAMES.search(label)) or attrs.get("role", "").lower() in NOISE_ROLES
-        stack.append((name, f"{name}.{label}" if label else name, noise))
+        noise = noise or attrs.get("role", "").lower() in NOISE_ROLES
+        number += 1
+        named, inside = stack[-1][3:]
+        if label and name not in ("html", "body") and named_noise(label):
+            named = (*named, number)
+            if OTHERS.search(LAYOUT_NAMES.sub("", label)):
+                others.add(number)
+        if name in CONTAINERS:
+            inside = (*inside, number)
+            around[number] = named
+        stack.append((name, f"{name}.{label}" if label else name, noise, named, inside))
     words(page[at:])
     flush()
-    return out
+    return _settled(out, around, others)
+
+
+def _settled(found, around, others) -> list[tuple[str, tuple[str, ...], bool, int]]:
+    """Blocks with the noise that names make, after taking it off what holds the page's text."""
+    lifted: frozenset = frozenset()
+    if any(named for *_, named, _ in found):
+        size, other = {}, {}
+        for text, path, noise, link, named, inside in found:
+            if noise:
+                continue
+            own = max(len(text) - link, 0)
+            if not named:
+                other[path] = other.get(path, 0) + own
+            for c in inside:
+                if named == around[c]:
+                    size[c] = size.get(c, 0) + own
+        if any(n and not around[c] for c, n in size.items()):
+            size = {c: n for c, n in size.items() if others.isdisjoint(around[c])}
+        main = max(size, key=lambda c: (size[c], -c), default=None)
+        if main is not None and around[main] and size[main] >= max(other.values(), default=0):
+            lifted = frozenset(around[main])
+        if not any(not noise and lifted.issuperset(named) for _, _, noise, _, named, _ in found):
+            lifted = frozenset(n for *_, named, _ in found for n in named)
+    return [(text, path, noise or not lifted.issuperset(named), link) for text, path, noise, link, named, _ in found]
 
 
 def container(path: tuple[str, ...]) -> tuple[str, ...]:
