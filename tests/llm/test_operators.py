@@ -417,3 +417,31 @@ def test_pieces_held_lattices_do_not_matter(monkeypatch):
     for t in texts:
         words, occ, bounds = pieces.split_words([t])
         assert [words[i] for i in occ] == pieces.words_of(t) and bounds.tolist() == [0, len(occ)]
+
+
+def test_op10_gives_ids_and_decodes_them(spark, real):
+    got = pieces.QUERIES["op10_sentencepiece"](spark, SF)
+    assert all_texts(pieces.decode(got).orderBy("doc_id")) == [(i, t or "") for i, t in all_texts(real.orderBy("doc_id"))]
+    samples = got.select("doc_id", F.explode("samples").alias("s")).select("doc_id", "s.ids")
+    texts = dict(all_texts(real))
+    assert samples.count() > real.count() and all(texts[r.doc_id] == r.text for r in pieces.decode(samples).collect())
+    assert all(r.round_trip == (pieces.SPACE not in (texts[r.doc_id] or "")) for r in got.collect())
+
+
+def test_round_trip_is_of_the_ids(monkeypatch):
+    import numpy as np
+
+    m = pieces.model(pieces.model_path(), pieces.SCALE)
+    texts = ["the cat", " two  spaces\n", "", "ünïcode \U0001f600", "a ▁ mark"]
+    lists = [m.sp.encode(t) for t in texts]
+    assert pieces.decoded(m, np.concatenate(lists).astype(np.int64), np.cumsum([0, *map(len, lists)])) == [m.sp.decode(x) for x in lists]
+    seeds, draw = pieces.mix64(np.arange(len(texts), dtype=np.uint64)), pieces._sample
+    assert pieces.encode_group(m, texts, seeds, 2)[0][2].tolist() == [True] * 4 + [False]
+
+    def wrong(*args):
+        out = draw(*args)
+        out[1][1][0] += 1  # the first text's second sample
+        return out
+
+    monkeypatch.setattr(pieces, "_sample", wrong)
+    assert pieces.encode_group(m, texts, seeds, 2)[0][2].tolist() == [False] + [True] * 3 + [False]

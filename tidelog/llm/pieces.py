@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import contextlib
 import re
-from itertools import chain, repeat
+from itertools import chain, pairwise, repeat
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +53,7 @@ def model_path(name: str = MODEL) -> str:
 class Model:
     def __init__(self, path: str, scale: float):
         import numpy as np
+        import pyarrow as pa
         import sentencepiece
 
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -93,9 +94,7 @@ class Model:
             surface[i] = t.encode()
         for b, i in self.byte.items():
             surface[i] = bytes([b])
-        self.surface = np.frombuffer(b"".join(surface), np.uint8)
-        self.surface_len = np.array([len(s) for s in surface], np.int64)
-        self.surface_at = np.concatenate([[0], np.cumsum(self.surface_len)[:-1]])
+        self.surfaces = pa.array(surface, pa.large_binary())
 
 
 def model(path: str, scale: float) -> Model:
@@ -214,7 +213,7 @@ class Store:
 
         self.m, self.index = m, {}
         self.n = {"word": 0, "node": 0, "edge": 0, "id": 0}
-        kinds = {"first": np.int64, "last": np.int64, "best_at": np.int64, "best_n": np.int64, "same": bool, "uses": np.int32}
+        kinds = {"first": np.int64, "last": np.int64, "best_at": np.int64, "best_n": np.int64, "uses": np.int32}
         for k, t in (kinds | {"ptr": np.int64, "entropy": np.float64, "tail": np.int32, "piece": np.int32, "logp": np.float64, "upto": np.float64, "best": np.int32}).items():
             # pages of an empty array take no memory until they are written
             setattr(self, k, np.empty(MAX_EDGES if k in self.EDGES else MAX_EDGES // 2 if k in self.NODES else 1024, t))
@@ -230,7 +229,7 @@ class Store:
             held = room
         held[at : at + len(values)] = values
 
-    def _append(self, words, first, last, ptr, entropy, tail, piece, logp, upto, best, sizes, same, uses) -> None:
+    def _append(self, words, first, last, ptr, entropy, tail, piece, logp, upto, best, sizes, uses) -> None:
         """Words whose nodes, edges and ids are numbered from 0."""
         import numpy as np
 
@@ -238,7 +237,7 @@ class Store:
         if nodes + len(ptr) >= 1 << 31:
             raise ValueError("too many characters in one group")
         for name, at, values in (
-            ("first", w, first + nodes), ("last", w, last + nodes), ("best_at", w, np.cumsum(sizes) - sizes + n_ids), ("best_n", w, sizes), ("same", w, same), ("uses", w, uses),
+            ("first", w, first + nodes), ("last", w, last + nodes), ("best_at", w, np.cumsum(sizes) - sizes + n_ids), ("best_n", w, sizes), ("uses", w, uses),
             ("ptr", nodes, ptr + edges), ("entropy", nodes, entropy), ("tail", edges, tail + np.int32(nodes)), ("piece", edges, piece), ("logp", edges, logp), ("upto", edges, upto), ("best", n_ids, best),
         ):
             self._put(name, at, values)
@@ -260,7 +259,7 @@ class Store:
         ptr = np.concatenate([self.ptr[nodes] - np.repeat(self.ptr[first] - edge_at, size), [int(cost.sum())]])
         tail = self.tail[edges] - np.repeat(first - node_at, cost)
         kept = ([names[i] for i in order.tolist()], node_at, node_at + size - 1, ptr, self.entropy[nodes], tail.astype(np.int32), *(getattr(self, k)[edges] for k in ("piece", "logp", "upto")))
-        kept += (self.best[ids], self.best_n[order], self.same[order], self.uses[order] // 2)
+        kept += (self.best[ids], self.best_n[order], self.uses[order] // 2)
         self.__init__(self.m)
         self._append(*kept)
 
@@ -276,10 +275,10 @@ class Store:
         new = np.flatnonzero(at < 0)
         if len(new):
             fresh = [words[i] for i in new.tolist()]
-            best, sizes, same = best_ids(self.m, fresh)
+            best, sizes = best_ids(self.m, fresh)
             lat = Lattices(self.m, fresh)
             at[new] = np.arange(len(fresh)) + self.n["word"]
-            self._append(fresh, lat.first, lat.last, lat.ptr, lat.entropy, lat.tail, lat.piece, lat.logp, lat.upto, best, sizes, same, np.zeros(len(fresh), np.int32))
+            self._append(fresh, lat.first, lat.last, lat.ptr, lat.entropy, lat.tail, lat.piece, lat.logp, lat.upto, best, sizes, np.zeros(len(fresh), np.int32))
         self.uses[at] += 1
         return at
 
@@ -557,7 +556,7 @@ def _ids(m: Model, o, s, pieces, n_occ: int):
 
 
 def best_ids(m: Model, words: list[str]):
-    """Deterministic ids of the words, flat, with their counts; and whether each decodes to itself."""
+    """Deterministic ids of the words, flat, with their counts."""
     import numpy as np
 
     lists = m.sp.encode([w.replace(SPACE, " ") for w in words], num_threads=1)
@@ -565,13 +564,7 @@ def best_ids(m: Model, words: list[str]):
         lists[words.index("")] = [m.sp.piece_to_id(SPACE)]
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
     flat = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
-    got = m.surface[_spread(m.surface_at[flat], m.surface_len[flat])]
-    want = np.frombuffer("".join(SPACE + w for w in words).encode("utf-8", "surrogatepass"), np.uint8)
-    if np.array_equal(got, want):
-        same = np.ones(len(words), bool)
-    else:
-        same = np.array([m.sp.decode(x) == w.replace(SPACE, " ") for x, w in zip(lists, words, strict=True)])
-    return flat, sizes, same
+    return flat, sizes
 
 
 def give_back() -> None:
@@ -595,8 +588,25 @@ def digest(ids, bounds):
     return (run[bounds[1:]] - run[bounds[:-1]]).view(np.int64)
 
 
+def decoded(m: Model, ids, bounds) -> list[str]:
+    """The text of each range of ids, as the library's decode gives it for ids of encoded text."""
+    import pyarrow as pa
+
+    joined = m.surfaces.take(pa.array(ids, pa.int32()))
+    if not len(ids):
+        return [""] * (len(bounds) - 1)
+    ends, data = joined.buffers()[1:]
+    ends = memoryview(ends).cast("q")[joined.offset :]
+    data = memoryview(data) if data else b""
+    texts = [str(data[ends[a] : ends[b]], "utf-8", "replace").replace(SPACE, " ") for a, b in pairwise(bounds.tolist())]
+    return [t[1:] if t[:1] == " " else t for t in texts]
+
+
 def encode_group(m: Model, texts: list[str], seeds, k: int):
-    """For each text: best ids, round trip, and k samples as ``(alive, ids, bounds, log p, log inclusion)``."""
+    """For each text: best ids, round trip, and k samples as ``(alive, ids, bounds, log p, log inclusion)``.
+
+    The best ids and those of every sample are decoded; the round trip holds if all give the text.
+    """
     import numpy as np
 
     words, occ, bounds = split_words(texts)
@@ -604,11 +614,12 @@ def encode_group(m: Model, texts: list[str], seeds, k: int):
     occ = held.numbers(words)[occ] if words else np.zeros(0, np.int64)
     n = held.best_n[occ]
     ids = held.best[_spread(held.best_at[occ], n)]
-    ends = np.concatenate([[0], np.cumsum(n)])
-    bad = np.concatenate([[0], np.cumsum(~held.same[occ])])
-    marked = np.array([SPACE in t for t in texts], bool)
-    best = (ids, ends[bounds], (bad[bounds[1:]] == bad[bounds[:-1]]) & ~marked)
-    return best, _sample(m, held, occ, bounds, seeds, k) if k and len(occ) else []
+    cut = np.concatenate([[0], np.cumsum(n)])[bounds]
+    drawn = _sample(m, held, occ, bounds, seeds, k) if k and len(occ) else []
+    same = np.array([a == b for a, b in zip(decoded(m, ids, cut), texts, strict=True)], bool)
+    for alive, got, at, _, _ in drawn:
+        same &= np.array([a == b for a, b in zip(decoded(m, got, at), texts, strict=True)], bool) | ~alive
+    return (ids, cut, same), drawn
 
 
 def _sample(m, lat, occ, bounds, seeds, k):
@@ -639,8 +650,8 @@ def encode(docs: DataFrame, samples: int = SAMPLES, ids: bool = True, path: str
 
     samples is an array of ``n_tokens, digest, log_p, log_inclusion`` (and ``ids``) in order of the draw; a
     text with fewer segmentations has fewer, and then each inclusion score is 0 (certain). Null and empty
-    texts have no ids, round_trip true and no samples. round_trip is false where decoding gives another
-    text: texts that hold the space mark itself. Rows with equal ids draw alike; null ids share a seed.
+    texts have no ids, round_trip true and no samples. The best ids and all samples are decoded; round_trip is
+    false where one gives another text: texts that hold the space mark itself. Rows with equal ids draw alike; null ids share a seed.
     """
     path = path or model_path()
     if samples and samples >= 4096:
@@ -720,7 +731,7 @@ def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id",
 
 
 def op10(spark, sf_dir):
-    return encode(table(spark, sf_dir, "documents"), ids=False)
+    return encode(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op10_sentencepiece": op10}
