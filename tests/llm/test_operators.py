@@ -445,3 +445,38 @@ def test_round_trip_is_of_the_ids(monkeypatch):
 
     monkeypatch.setattr(pieces, "_sample", wrong)
     assert pieces.encode_group(m, texts, seeds, 2)[0][2].tolist() == [False] + [True] * 3 + [False]
+
+
+def test_words_of_many_pieces():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(7)
+    m = pieces.model(pieces.model_path(), pieces.SCALE)
+    blob = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzQXZ0123456789", k=10_000))
+    texts = ["the cat sat on the mat", blob, "one more text of words", "漢字" * 5000, "last words stand here"]
+    seeds = pieces.mix64(np.arange(len(texts), dtype=np.uint64))
+
+    weight = {m.sp.id_to_piece(i): m.logw[i] for i in range(259, 32000)}
+
+    def mass(word):
+        """Log of the total weight of a word's segmentations."""
+        w, z = pieces.SPACE + word, [0.0]
+        for k in range(1, len(w) + 1):
+            z.append(np.logaddexp.reduce([z[a] + weight[w[a:k]] for a in range(max(0, k - m.longest), k) if w[a:k] in weight]))
+        return z[-1]
+
+    logz = [i != 3 and sum(map(mass, t.split(" "))) for i, t in enumerate(texts)]
+    (_, _, same), drawn = pieces.encode_group(m, texts, seeds, 4)
+    assert same.all() and max(np.diff(drawn[0][2])) > 4096
+    alone = [pieces.encode_group(m, texts[i : i + 1], seeds[i : i + 1], 4)[1] for i in range(len(texts))]
+    for k, (alive, got, at, lp, inc) in enumerate(drawn):
+        for i in range(len(texts)):
+            ids = got[at[i] : at[i + 1]]
+            alive1, ids1, _, lp1, inc1 = alone[i][k]
+            assert alive[i] == alive1[0] and (alive[i] or i == 3)
+            if alive[i]:
+                assert ids.tolist() == ids1.tolist() and abs(lp[i] - lp1[0]) < 1e-6 and abs(inc[i] - inc1[0]) < 1e-6
+            if i != 3:  # all characters are pieces
+                assert abs(lp[i] - (m.logw[ids].sum() - logz[i])) < 1e-6

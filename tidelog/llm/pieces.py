@@ -330,8 +330,9 @@ def walk(lat: Lattices, node, first, place, step, seed, near):
     node = node[live].astype(np.int64)
     step = step[live]
     gold = np.uint64(0x9E3779B97F4A7C15)
+    own_seed = mix64(seed + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))  # steps of a word are unbounded, so places are mixed first
     while len(live):
-        mark = mix64(seed[live] + (place[live].astype(np.uint64) * np.uint64(4096) + step.astype(np.uint64)) * gold)
+        mark = mix64(own_seed[live] + step.astype(np.uint64) * gold)
         close = near[live]
         edge = lat.ptr[node]
         far = np.flatnonzero(~close)
@@ -430,7 +431,8 @@ class Sampler:
                         continue
                     _, o, s, e, src = b
                     po, ps, pe, pl = paths[d][src]
-                    i = np.searchsorted(po * 4096 + ps, o * 4096 + s)
+                    i, j = np.searchsorted(po, [o, o + 1])
+                    i += np.searchsorted(ps[i:j], s)
                     keep_o += [po[:i], [o]]
                     keep_s += [ps[:i], [s]]
                     keep_e += [pe[:i], [e]]
@@ -471,7 +473,7 @@ class Sampler:
             if kept is not None and len(kept[0]):
                 ko, ks, ke, kl = kept
                 o, s, e, lp = np.concatenate([ko, o]).astype(np.int64), np.concatenate([ks, s]).astype(np.int64), np.concatenate([ke, e]).astype(np.int64), np.concatenate([kl, lp])
-                order = np.argsort(o * 4096 + s, kind="stable")
+                order = np.argsort(o * (s.max() + 1) + s, kind="stable")
                 o, s, e, lp = o[order], s[order], e[order], lp[order]
             edge_of = np.searchsorted(o, bounds)
             for d in range(docs):
