@@ -224,6 +224,25 @@ def test_pseudonyms(spark, docs):
     assert len({re.sub("[^0-9]", "", r.text) for r in pseudonyms.replaced(same).collect()}) == 1
 
 
+def test_pseudonyms_of_accounts(spark):
+    def valid(x):
+        x = x.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+    ibans = ["GB29NWBK60161331926819", "NL91 ABNA 0417 1643 00", "FR1420041010050500013M02606", "DE89370400440532013000", "MT84MALT011000012345MTLCAST001S"]
+    texts = [f"pay to {x} NEXT WEEK 1234" for x in ibans] + ["GB30NWBK60161331926819 is wrong", "in 2024 4111 1111 1111 1111", "4111111111111111", "years 2019 2020 2021 2022", "years 2018 2019 2020 2021 2022"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    once = pseudonyms.replaced(df)
+    got = {r.doc_id: r for r in once.collect()}
+    for i, x in enumerate(ibans):
+        new = got[i].text.removeprefix("pay to ").removesuffix(" NEXT WEEK 1234")
+        assert got[i].kinds == ["iban"] and new != x and new[:2] == x[:2] and valid(new)
+        assert [(c.isdigit(), c.isupper(), c == " ") for c in new] == [(c.isdigit(), c.isupper(), c == " ") for c in x]
+    assert all(got[i].text == texts[i] and not got[i].kinds for i in (5, 8, 9))
+    assert got[6].kinds == ["card"] and got[6].text.startswith("in 2024 ") and got[6].text[8:].replace(" ", "") == got[7].text
+    assert {r.doc_id: r.text for r in pseudonyms.replaced(once, reveal=True).collect()} == dict(enumerate(texts))
+
+
 def test_feistel_permutes(spark):
     df = spark.range(1000).select(pseudonyms.permute_digits(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "t").alias("x"))
     assert {r.x for r in df.collect()} == {f"{i:03d}" for i in range(1000)}

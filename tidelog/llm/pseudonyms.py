@@ -9,7 +9,8 @@ document; ``reveal`` with the same key inverts them.
 * other numbers of 13-19 digits (account and reference numbers): the same, and the last digit keeps its
   distance from the check digit, so that none becomes a card number;
 * social security numbers: area, and group with serial, are permuted within their valid ranges;
-* IBANs: the digits after the check digits are permuted, the check digits made anew (mod 97);
+* IBANs: the digits and letters after the check digits are permuted within their kinds, the check digits
+  made anew (mod 97);
 * phone numbers: the digits after the country code are permuted;
 * dates (1900-01-01 up to 72,900 days on): the day is permuted, the notation stays;
 * IPv4 addresses: the 32 bits are permuted;
@@ -26,6 +27,19 @@ from .common import let, table
 ROUNDS = 10
 DEFAULT_KEY = "example key, replace"
 
+#: Length of the IBANs of each country, so that words in capitals after one are not taken with it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN = "|".join(
+    f"(?:{names.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f"\\x20?[A-Z0-9]{{{(n - 4) % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])" for n, names in IBAN_LENGTHS.items()
+)
+
+#: A year before a run of digits that is itself of a card's length, or only years, is no part of a number.
+_YEARS = r"(?!(?:19|20)[0-9]{2}[\x20-](?:[0-9]{4}[\x20-]){3}[0-9]{4}(?![0-9A-Za-z]))(?!(?:(?:19|20)[0-9]{2}[\x20-]){3,}(?:19|20)[0-9]{2}(?![0-9A-Za-z]))"
+
 #: Kinds in order of precedence, each with the pattern that finds it. Every pattern starts at a boundary, so
 #: that a long run is tried once.
 PATTERNS = {
@@ -33,9 +47,9 @@ PATTERNS = {
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[0-9]{4}){2,7}(?:\x20?[0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + _IBAN + r"|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|[A-Z]{2}[0-9]{2}(?:\x20?[0-9]{4}){2,7}(?:\x20?[0-9]{1,3})?)(?![A-Za-z0-9])",
     "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[\x20.-]?\(?[0-9]{1,4}\)?(?:[\x20.-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9A-Za-z])\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9A-Za-z.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
-    "number": r"(?<![0-9A-Za-z])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9A-Za-z])",
+    "number": r"(?<![0-9A-Za-z])" + _YEARS + r"[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
 ANY = "|".join(PATTERNS.values())
 KINDS = ("email", "ip", "date", "ssn", "iban", "phone", "card", "number")
@@ -89,14 +103,14 @@ def digits_of(v: Column) -> Column:
     return F.regexp_replace(v, "[^0-9]", "")
 
 
-def refill(v: Column, digits: Column, skip: Column | int = 0) -> Column:
-    """v with its digits after the first ``skip`` replaced in turn; all else stays."""
+def refill(v: Column, digits: Column, skip: Column | int = 0, kind: str = "[0-9]") -> Column:
+    """v with its digits (or characters of ``kind``) after the first ``skip`` replaced in turn; all else stays."""
     skip = F.lit(skip) if isinstance(skip, int) else skip
     at = F.struct(F.lit(0).alias("n"), F.lit("").alias("out"))
 
     def step(acc, i):
         c = F.substr(v, i, F.lit(1))
-        digit = F.regexp_like(c, F.lit("[0-9]"))
+        digit = F.regexp_like(c, F.lit(kind))
         new = F.when(digit & (acc["n"] >= skip), F.substr(digits, acc["n"] - skip + 1, F.lit(1))).otherwise(c)
         return F.struct((acc["n"] + digit.cast("int")).alias("n"), F.concat(acc["out"], new).alias("out"))
 
@@ -119,12 +133,13 @@ def luhn_ok(d: Column) -> Column:
 
 
 def _mod97(d: Column) -> Column:
-    """A digit string of any length mod 97."""
-    return F.aggregate(F.sequence(F.lit(1), F.length(d)), F.lit(0).cast("long"), lambda a, i: (a * 10 + F.substr(d, i, F.lit(1)).cast("long")) % 97)
+    """A string of digits and capitals (A is 10, Z is 35) of any length mod 97."""
 
+    def step(a, i):
+        c = F.ascii(F.substr(d, i, F.lit(1))).cast("long")
+        return F.when(c < 65, (a * 10 + c - 48) % 97).otherwise((a * 100 + c - 55) % 97)
 
-def _letters(country: Column) -> Column:
-    return F.concat(*[(F.ascii(F.substring(country, k, 1)) - 55).cast("string") for k in (1, 2)])
+    return F.aggregate(F.sequence(F.lit(1), F.length(d)), F.lit(0).cast("long"), step)
 
 
 def kind_of(v: Column) -> Column:
@@ -133,7 +148,8 @@ def kind_of(v: Column) -> Column:
     full = lambda k: F.regexp_like(v, F.lit(f"^(?:{PATTERNS[k]})$"))
     octets = F.split(v, r"\.")
     day = date_of(v)
-    iban_rest = F.concat(F.substr(d, F.lit(3)), _letters(v), F.substring(d, 1, 2))
+    account = F.regexp_replace(v, " ", "")
+    iban_rest = F.concat(F.substr(account, F.lit(5)), F.substring(account, 1, 4))
     return (
         F.when(full("email"), "email")
         .when(full("ip"), F.when(F.forall(octets, lambda o: o.cast("int") <= 255), "ip"))
@@ -199,9 +215,14 @@ def _card(v: Column, key: str, kind: str, reveal: bool) -> Column:
 
 
 def _iban(v: Column, key: str, reveal: bool) -> Column:
-    bank = permute_digits(F.substr(digits_of(v), F.lit(3)), key, "iban", reveal)
-    check = lambda b: F.concat(F.lpad((98 - _mod97(F.concat(b, _letters(v), F.lit("00")))).cast("string"), 2, "0"), b)
-    return refill(v, let(bank, check))
+    def run(account):
+        rest = F.substr(account, F.lit(5))
+        letters = _permute_text(F.lower(rest), key, "iban", reveal)
+        bank = F.when(F.regexp_like(rest, F.lit("[A-Z]")), F.upper(letters)).otherwise(permute_digits(rest, key, "iban", reveal))
+        check = lambda b: F.concat(F.lpad((98 - _mod97(F.concat(b, F.substring(account, 1, 2), F.lit("00")))).cast("string"), 2, "0"), b)
+        return let(bank, check)
+
+    return refill(v, let(F.regexp_replace(v, " ", ""), run), 2, "[A-Z0-9]")
 
 
 def _phone(v: Column, key: str, reveal: bool) -> Column:
@@ -211,8 +232,8 @@ def _phone(v: Column, key: str, reveal: bool) -> Column:
     return let(code, lambda n: refill(v, permute_digits(F.substr(digits_of(v), n + 1), key, "phone", reveal), n))
 
 
-def _shift(half: Column, other: Column, i: Column, key: str, sign: int) -> Column:
-    draw = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), i.cast("string"), F.length(half).cast("string"), other), 256)
+def _shift(half: Column, other: Column, i: Column, key: str, kind: str, sign: int) -> Column:
+    draw = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), F.length(half).cast("string"), other), 256)
 
     def run(h):
         def one(j):
@@ -227,14 +248,18 @@ def _shift(half: Column, other: Column, i: Column, key: str, sign: int) -> Colum
     return let(draw, run)
 
 
-def _email(v: Column, key: str, reveal: bool) -> Column:
-    name = F.lower(F.substring_index(v, "@", 1))
+def _permute_text(name: Column, key: str, kind: str, reveal: bool) -> Column:
+    """Lower-case letters and digits permuted within their kinds; all else stays."""
     u = F.floor(F.length(name) / 2).cast("int")
     start = F.struct(_left(name, u).alias("l"), F.substr(name, u + 1).alias("r"))
-    on = lambda s, i: F.struct(s["r"].alias("l"), _shift(s["l"], s["r"], i, key, 1).alias("r"))
-    back = lambda s, i: F.struct(_shift(s["r"], s["l"], i, key, -1).alias("l"), s["l"].alias("r"))
+    on = lambda s, i: F.struct(s["r"].alias("l"), _shift(s["l"], s["r"], i, key, kind, 1).alias("r"))
+    back = lambda s, i: F.struct(_shift(s["r"], s["l"], i, key, kind, -1).alias("l"), s["l"].alias("r"))
     order = F.sequence(F.lit(ROUNDS - 1), F.lit(0)) if reveal else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
-    new = F.aggregate(order, start, back if reveal else on, lambda s: F.concat(s["l"], s["r"]))
+    return F.aggregate(order, start, back if reveal else on, lambda s: F.concat(s["l"], s["r"]))
+
+
+def _email(v: Column, key: str, reveal: bool) -> Column:
+    new = _permute_text(F.lower(F.substring_index(v, "@", 1)), key, "email", reveal)
     return F.concat(F.when(v == F.upper(v), F.upper(new)).otherwise(new), F.lit("@"), F.substring_index(v, "@", -1))
 
 
