@@ -80,6 +80,14 @@ def test_simhash(request, which):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(least.values())
 
 
+def test_dedup_keeps_one_row_of_each_group(spark):
+    a, b, c = "one text of some words here", "quite another text with words", "the third of these texts stands alone"
+    rows_ = [(1, a, "x"), (1, a, "x"), (None, a, "y"), (2, b, "x"), (2, a, "z"), (None, c, "x"), (None, c, "x"), (5, None, "x"), (6, "", "x")]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, fp string")
+    got = [tuple(r) for r in simhash.dedup(df).collect()]
+    assert sorted(got, key=str) == sorted([(1, a, "x"), (2, b, "x"), (None, c, "x"), (5, None, "x")], key=str)
+
+
 def test_simhash_long_lists(spark):
     """Lists beyond the limit go by midpoints: the same components."""
     import random

@@ -18,8 +18,9 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, MapType, StructField, StructType
 
 from .common import binary_column, cut, table
 
@@ -157,24 +158,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blank texts have fingerprint 0 and link like any other; null ids take part and are never the smallest
     (a component of null ids alone has null). Repeated ids keep their rows. An empty table gives none.
     """
+    return _rooted(docs, id_col, text_col, max_bits, max_list).select("doc_id", "fp", "component_id")
+
+
+def _rooted(docs: DataFrame, id_col: str, text_col: str, max_bits: int = 4, max_list: int = 64) -> DataFrame:
+    """The same with ``root``, the component's smallest fingerprint."""
     fps = cut(fingerprints(docs, id_col, text_col))
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(distinct.select("fp"), max_bits, max_list))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = cut(rooted)
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(best, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = rooted.join(best, "root").select("fp", "component_id", "root")
+    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id", "root")
 
 
-def dedup(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stand for their group: those whose id is the component's smallest.
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of docs for each group: that with the smallest id, nulls last.
 
-    Rows that repeat an id stay together; rows with a null id stay.
+    Of rows that share this id the one with the smallest fingerprint stays, then the smallest text. Fingerprints
+    are made a second time for the rows whose id is null or repeated, and for no others.
     """
-    found = near_duplicates(docs, **options)
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    near = cut(_rooted(docs, id_col, text_col, **options))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("fp"))).alias("b")
+    best = cut(near.groupBy("root").agg(first).select(F.col("b.doc_id").alias("__id"), F.col("b.fp").alias("__fp")))
+    again = cut(near.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR __id IS NULL").select("__id"))
+    key = F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
+    single = docs.join(best.join(again, "__id", "left_anti").where("__id IS NOT NULL"), key, "left_semi")
+    shared = docs.join(again, key, "left_semi")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            fps = np.array([fingerprint(t or b"") for t in binary_column(b, text_col)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], names=[*b.schema.names, "__own"])
+
+    marked = shared.mapInArrow(run, StructType([*docs.schema.fields, StructField("__own", LongType())]))
+    marked = marked.join(best, key & (F.col("__own") == F.col("__fp")), "left_semi")
+    rest = F.xxhash64(*[c for c in docs.columns if not isinstance(docs.schema[c].dataType, MapType)])
+    order = Window.partitionBy(F.col(id_col).cast("long"), "__own").orderBy(F.col(text_col), rest)
+    chosen = marked.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*docs.columns)
+    return single.unionByName(chosen)
 
 
 def op5(spark, sf_dir):
