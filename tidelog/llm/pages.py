@@ -67,13 +67,13 @@ def doubtful_name(label: str) -> bool:
 class Path:
     """A node of the tree of paths; equal steps under equal paths are one path."""
 
-    __slots__ = ("parent", "step", "tag", "out", "weight", "own_weight", "container", "top", "next", "text", "dots", "blocks", "link", "order")
+    __slots__ = ("parent", "step", "tag", "out", "weight", "own_weight", "container", "doubt", "next", "text", "dots", "blocks", "link", "order")
 
     def __init__(self, parent, step, tag, out, weight, own_weight, container):
         self.parent, self.step, self.tag, self.out, self.weight, self.own_weight = parent, step, tag, out, weight, own_weight
         self.container = self if container else (parent.container if parent else None)
-        #: the highest article or main around it
-        self.top = (parent.top if parent else None) or (self if container else None)
+        #: the nearest path with a doubtful name or tag, itself or around it
+        self.doubt = None if parent is None else self if own_weight < parent.own_weight else parent.doubt
         self.next: dict = {}
         self.text = self.dots = self.blocks = self.link = 0
         self.order = -1
@@ -240,7 +240,11 @@ def content_paths(found: list[tuple[str, Path]], spread: float = 0.5, width: flo
     best = max(paths, key=lambda p: (p.text * (1 + min(1, p.dots)) * p.weight, -p.order))
     if not best.text or (best.weight < 1 and best.text < DOUBTFUL_CHARS):
         return set()
-    chosen = {p for p, s, o in zip(paths, score, own, strict=True) if s >= limit and o >= max(limit, 1e-300) and p.dots} | {best}
+    around_best, up = {None}, best
+    while up is not None:
+        around_best.add(up)
+        up = up.parent
+    chosen = {p for p, s, o in zip(paths, score, own, strict=True) if s >= limit and o >= max(limit, 1e-300) and p.dots and p.doubt in around_best} | {best}
     content = set(chosen)
 
     regions = {id(p.container): p.container for p in chosen if p.container is not None}
