@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
+
 #: The six ASCII white-space characters that end a word.
 WS = "\x20\x09\x0a\x0b\x0c\x0d"
 WS_RUN = r"[\x20\x09-\x0D]+"
@@ -17,12 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage in the cluster's shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
-    return df.checkpoint()
+#: One in so many rows makes a key hot: there are at most so many hot keys, whatever the table.
+HOT_SHARE = 1000
+
+
+def look_up(rows: DataFrame, facts: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with facts, one row for each key, with ``__n``, the number of rows of that key; total is their sum.
+
+    Keys with over a thousandth of the rows, at most a thousand, go by a broadcast, so that none of their
+    rows are moved; the others are dealt by key. Null keys meet nothing. facts should be a cut table.
+    """
+    share = total / HOT_SHARE
+    hot = facts.where((F.col("__n") > share) & F.col(key).isNotNull())
+    some = F.broadcast(hot.drop("__n"))
+    by_broadcast = rows.join(some, key, how)
+    others = rows.where(F.col(key).isNotNull()).join(F.broadcast(hot.select(key)), key, "left_anti")
+    return by_broadcast.unionByName(others.join(facts.where(F.col("__n") <= share).drop("__n"), key, how))
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -44,3 +54,14 @@ def binary_column(batch, name: str) -> list:
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, however often body names it."""
     return F.transform(F.array(value), body)[0]
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """wanted, with underscores in front until no column of df has that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+__all__ = ["WORD", "WS", "WS_RUN", "binary_column", "cut", "free_name", "let", "look_up", "table", "text_or_empty", "word_count"]

@@ -1,28 +1,30 @@
 """SimHash near-duplicate groups through a byte-position inverted index with count filtering.
 
-A 64-bit fingerprint has eight positional bytes. Two fingerprints that differ in at most four bits
-share at least four of them, so of three groups of positions (0-2, 3-5, 6-7) ... any family of position
-triples that meets every set of four positions finds all pairs: the postings are keyed by such triples
-and their three bytes, because a list for one byte alone holds a 256th of the corpus. Within a list the
-shared positional bytes of a pair are tallied; pairs reaching the guaranteed four are verified bit by bit.
-
-A list longer than ``max_list`` is not paired off. Its members instead post all values within half the
-distance of them: two fingerprints at distance d share a value at distance d/2 of both, so linking each
-member to the smallest member of a posted value connects exactly what the pairs would have connected,
-with work in proportion to the members.
-
-Only distinct fingerprints are indexed: exact copies meet in an aggregation, not in a join.
+A 64-bit fingerprint has eight positional bytes. Two fingerprints that differ in at most four bits share at
+least four of them. A list for one byte would hold a 256th of the corpus, so postings are keyed by three
+positional bytes: 20 triples of positions cover every set of four. A list of over ``max_list`` is split by
+each further positional byte, of which a linked pair shares one at least, so lists stay short up to
+``max_list`` times 2^32 unrelated fingerprints. Within a list the shared positional bytes of a pair are
+tallied; pairs reaching the guaranteed four are verified bit by bit.
+
+A list that is still too long holds copies edited in many ways, and is not paired off. Its members post all
+values within half the distance of them: two fingerprints at distance d share a value at distance d/2 of
+both, so linking each member to the smallest member of a posted value connects exactly what the pairs would
+have connected, with work in proportion to the members.
+
+Only distinct fingerprints are indexed: exact copies meet in an aggregation, not in a join. Joins by a
+fingerprint or a root send keys with over a thousandth of the rows by broadcast, at most a thousand keys.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, MapType, StructField, StructType
 
-from .common import binary_column, cut, table
+from .common import binary_column, cut, free_name, look_up, table
 
 BITS = 64
 BYTES = 8
@@ -97,20 +99,32 @@ def links(distinct: DataFrame, max_bits: int = 4, max_list: int = 64) -> DataFra
         raise ValueError("four shared bytes are guaranteed for at most 4 differing bits")
     fp = F.col("fp")
     triples = covering_triples()
-    packed = [
-        sum((_byte(fp, p) * F.lit(1 << (8 * i)) for i, p in enumerate(t)), F.lit(k << 24).cast("long")) for k, t in enumerate(triples)
-    ]
-    posts = distinct.select(fp, F.explode(F.array(*packed)).alias("key"))
-    counts = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    listed = cut(posts.join(counts, "key"))
-    short = listed.where(F.col("n") <= max_list)
+    packed = [sum((_byte(fp, p) * F.lit(1 << (8 * i)) for i, p in enumerate(t)), F.lit(k << 24).cast("long")) for k, t in enumerate(triples)]
+    listed = _listed(distinct.select(fp, F.explode(F.array(*packed)).alias("key")))
+    # a long list by each position outside its triple and the byte there: the key has 5 + 24 bits, 3 and 8 more
+    number = F.shiftright("key", 24)
+    others = F.element_at(F.lit([[p for p in range(BYTES) if p not in t] for t in triples]), (number + 1).cast("int"))
+    split = listed.where(F.col("n") > max_list).select("fp", "key", F.explode(others).alias("p"))
+    byte = F.expr("shiftrightunsigned(fp, CAST(8 * p AS INT))").bitwiseAND(F.lit(255))
+    again = _listed(split.select("fp", (F.col("key") * 2048 + F.col("p") * 256 + byte).alias("key")))
+    pairs = _pairs(listed.where(F.col("n") <= max_list), max_bits).unionByName(_pairs(again.where(F.col("n") <= max_list), max_bits)).distinct()
+    hot = again.where(F.col("n") > max_list).select("fp").distinct()
+    return pairs.unionByName(_midpoint_links(hot, max_bits))
+
+
+def _listed(posts: DataFrame) -> DataFrame:
+    """``key, fp, n``: the postings whose list has n > 1 members."""
+    counts = cut(posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return cut(look_up(posts, counts.withColumn("__n", F.col("n")), "key", total))
+
+
+def _pairs(short: DataFrame, max_bits: int) -> DataFrame:
+    """``a, b`` (a < b) of each list that share enough positional bytes and differ in at most max_bits."""
     a, b = short.select("key", F.col("fp").alias("a")), short.select("key", F.col("fp").alias("b"))
     pairs = a.join(b, "key").where("a < b")
     tally = sum((F.when(_byte(F.col("a"), p) == _byte(F.col("b"), p), 1).otherwise(0) for p in range(BYTES)), F.lit(0))
-    pairs = pairs.where((tally >= BYTES - max_bits) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
-    pairs = pairs.select("a", "b").distinct()
-    hot = listed.where(F.col("n") > max_list).select("fp").distinct()
-    return pairs.unionByName(_midpoint_links(hot, max_bits))
+    return pairs.where((tally >= BYTES - max_bits) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).select("a", "b")
 
 
 def _midpoint_links(hot: DataFrame, max_bits: int) -> DataFrame:
@@ -132,16 +146,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     aggregation and a join on the edges; no component is gathered in one place.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    seen = None
+    count = lambda: e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+    seen = count()
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.greatest("v", "u").alias("x"), "u", "v", "m")
-        e2 = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = cut(e2)
-        now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("__n")))
+        large = look_up(both.where("v > u"), least, "u", 2 * seen["n"])
+        large = cut(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("__n")))
+        small = look_up(large, low, "u", large.count()).select("v", "m")
+        e = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        now = count()
         if now == seen:
             break
         seen = now
@@ -164,28 +179,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _rooted(docs: DataFrame, id_col: str, text_col: str, max_bits: int = 4, max_list: int = 64) -> DataFrame:
     """The same with ``root``, the component's smallest fingerprint."""
     fps = cut(fingerprints(docs, id_col, text_col))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")))
     roots = components(links(distinct.select("fp"), max_bits, max_list))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root"))
     rooted = cut(rooted)
-    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(best, "root").select("fp", "component_id", "root")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id", "root")
+    best = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("__n")))
+    sizes = rooted.agg(F.count(F.lit(1)).alias("fps"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
+    by_fp = cut(look_up(rooted, best, "root", sizes["fps"]).select("fp", "component_id", "root", F.col("rows").alias("__n")))
+    return look_up(fps, by_fp, "fp", sizes["rows"]).select("doc_id", "fp", "component_id", "root")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of docs for each group: that with the smallest id, nulls last.
+    """One row of docs for each group: that with the smallest id, nulls last; columns and their names stay.
 
     Of rows that share this id the one with the smallest fingerprint stays, then the smallest text. Fingerprints
-    are made a second time for the rows whose id is null or repeated, and for no others.
+    are made a second time for the rows whose id is null or repeated, and for no others. Blank and null texts
+    are one group. An empty table gives none.
     """
     near = cut(_rooted(docs, id_col, text_col, **options))
+    total = near.count()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("fp"))).alias("b")
-    best = cut(near.groupBy("root").agg(first).select(F.col("b.doc_id").alias("__id"), F.col("b.fp").alias("__fp")))
-    again = cut(near.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR __id IS NULL").select("__id"))
-    key = F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
-    single = docs.join(best.join(again, "__id", "left_anti").where("__id IS NOT NULL"), key, "left_semi")
-    shared = docs.join(again, key, "left_semi")
+    best = cut(near.groupBy("root").agg(first).select(F.col("b.doc_id").alias("id"), F.col("b.fp").alias("fp")))
+    again = cut(near.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"))
+    own_id, own_fp = free_name(docs, "own_id"), free_name(docs, "own_fp")
+    keyed = docs.withColumn(own_id, F.col(id_col).cast("long"))
+    single = keyed.join(best.where("id IS NOT NULL").join(again.select("id"), "id", "left_anti").select(F.col("id").alias(own_id)), own_id, "left_semi")
+    shared = look_up(keyed, again.withColumnRenamed("id", own_id), own_id, total, "left_semi").unionByName(keyed.where(F.col(own_id).isNull()))
 
     def run(batches):
         import numpy as np
@@ -193,14 +212,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
 
         for b in batches:
             fps = np.array([fingerprint(t or b"") for t in binary_column(b, text_col)], np.uint64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], names=[*b.schema.names, "__own"])
-
-    marked = shared.mapInArrow(run, StructType([*docs.schema.fields, StructField("__own", LongType())]))
-    marked = marked.join(best, key & (F.col("__own") == F.col("__fp")), "left_semi")
-    rest = F.xxhash64(*[c for c in docs.columns if not isinstance(docs.schema[c].dataType, MapType)])
-    order = Window.partitionBy(F.col(id_col).cast("long"), "__own").orderBy(F.col(text_col), rest)
-    chosen = marked.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*docs.columns)
-    return single.unionByName(chosen)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], names=[*b.schema.names, own_fp])
+
+    marked = shared.mapInArrow(run, StructType([*shared.schema.fields, StructField(own_fp, LongType())]))
+    # one row of each id and fingerprint, by a running minimum on the way to the shuffle
+    rest = F.xxhash64(*[F.col(c) for c in docs.columns if not isinstance(docs.schema[c].dataType, MapType)])
+    one = marked.groupBy(own_id, own_fp).agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.struct(F.col(text_col), rest)).alias("row"))
+    chosen = one.join(best, one[own_id].eqNullSafe(best["id"]) & (one[own_fp] == best["fp"]), "left_semi").select("row.*")
+    return single.select(*docs.columns).unionByName(chosen)
 
 
 def op5(spark, sf_dir):
