@@ -1,29 +1,40 @@
 """Exact top-k inner-product search over norm-sorted vectors with SVD-rotated partial sums.
 
-Vectors are quantized to integers. The second moments of all of them (one small matrix from each task)
-give the rotation, the right singular vectors of the whole table. A block of queries meets the candidates
-in descending order of length. By Cauchy-Schwarz no later candidate can score above |q| |x|: once that is
-under the k-th best of every query of the block, the rest is skipped. Before that, the product over the
-first rotated components plus the product of the residual lengths bounds each score; only pairs whose
-bound reaches the query's k-th best are multiplied out, in integers.
-
-A task holds one block of queries with their k best and one batch of candidates, whatever the table's
-size. Each candidate goes to each query block (the query set is a twentieth of the rows, in blocks).
+Vectors are quantized to integers. The second moments of all of them (one small matrix from each task) give
+the rotation, the right singular vectors of the whole table. Candidates are cut into ranges of their length,
+and a range into cells that fit a task. Every query first meets the longest vectors, a bounded number that
+goes to all tasks: its k-th best score there is a floor. By Cauchy-Schwarz a candidate shorter than floor /
+|q| cannot reach it, so a query is sent only to the cells of the ranges above that, and shorter candidates
+are pruned before anything is moved. What is moved is queries; candidates move once.
+
+In a cell candidates stand in descending order of length and the cell's queries stream by in blocks: once
+|q| |x| is under the k-th best of every query of the block, the rest is skipped. Before that, the product
+over the first rotated components plus the product of the residual lengths bounds each score; only pairs
+whose bound reaches the query's k-th best are multiplied out, in integers.
+
+Work and moved rows are queries times candidate cells at worst, as for any exact search where the bounds do
+not bite: N / 20 queries and N / CELL_ROWS cells here. A task holds one cell and one block of queries.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
 
 TOP_K = 20
 QUERY_EVERY = 20
-QUERY_BLOCK = 2048
+#: Queries that meet a cell together, and candidates they meet at a time.
+QUERY_BLOCK = 1024
 CHUNK = 1024
+#: Components of the candidates that a task holds.
+CELL_VALUES = 4_000_000
+#: The longest vectors, which every query meets first, and at most so many ranges of length.
+SEEDS = 2048
+MAX_RANGES = 2048
 
 
 def quantized(vectors: DataFrame, scale: float = 64.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -74,126 +85,185 @@ def rotation(vectors: DataFrame, dims: int):
     return basis[:, np.argsort(-values)]
 
 
+class Cell:
+    """Candidates in descending order of length, with their rotated parts."""
+
+    def __init__(self, ids, x, basis, head: int, exact):
+        import numpy as np
+
+        order = np.argsort(-np.square(x.astype(np.float64)).sum(1), kind="stable")
+        self.ids, x = ids[order], x[order]
+        r = x.astype(np.float64) @ basis
+        self.x, self.head = x.astype(exact), head
+        self.first = r[:, :head]
+        self.rest = np.sqrt(np.square(r[:, head:]).sum(1))
+        self.norm = np.sqrt(np.square(r).sum(1))
+
+
 class Block:
-    """The k best candidates so far of each query of a block."""
+    """The k best candidates so far of each query of a block; ``floor`` is what a score must reach."""
 
-    def __init__(self, ids, q, basis, head: int, k: int, exact):
+    def __init__(self, ids, q, floor, basis, head: int, k: int, exact):
         import numpy as np
 
-        self.ids, self.q, self.k, self.exact, self.basis, self.head = ids, q.astype(exact), k, exact, basis, head
+        self.ids, self.q, self.k, self.exact = ids, q.astype(exact), k, exact
         r = q.astype(np.float64) @ basis
         self.first = r[:, :head]
         self.rest = np.sqrt(np.square(r[:, head:]).sum(1))
         self.norm = np.sqrt(np.square(r).sum(1))
         self.top: list[list] = [[] for _ in ids]  # (-score, id), best first
-        self.least = np.full(len(ids), -np.inf)
+        self.least = np.array(floor, np.float64)
         self.least_id = np.full(len(ids), np.iinfo(np.int64).max)
-        self.done = False
-        self.multiplied = 0
 
-    def offer(self, ids, x) -> None:
+    def meet(self, cell: Cell) -> None:
+        for at in range(0, len(cell.ids), CHUNK):
+            if not self._offer(cell, slice(at, at + CHUNK)):
+                break
+
+    def _offer(self, cell: Cell, part) -> bool:
+        """False if no later candidate can count."""
         import numpy as np
 
-        r = x.astype(np.float64) @ self.basis
-        norm = np.sqrt(np.square(r).sum(1))
-        slack = 1e-6 * (1.0 + self.norm * (norm.max() if len(norm) else 0.0))
-        open_ = np.flatnonzero(self.norm * norm.max() + slack >= self.least)
+        longest = cell.norm[part.start]
+        slack = 1e-6 * (1.0 + self.norm * longest)
+        open_ = np.flatnonzero(self.norm * longest + slack >= self.least)
         if not len(open_):
-            self.done = True
-            return
-        rest = np.sqrt(np.square(r[:, self.head :]).sum(1))
-        bound = self.first[open_] @ r[:, : self.head].T + self.rest[open_, None] * rest[None, :] + slack[open_, None]
+            return False
+        bound = self.first[open_] @ cell.first[part].T + self.rest[open_, None] * cell.rest[None, part] + slack[open_, None]
         may = bound >= self.least[open_, None]
-        rows = np.flatnonzero(may.any(1))
-        cols = np.flatnonzero(may.any(0))
+        rows, cols = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
         if not len(rows):
-            return
+            return True
         at = open_[rows]
-        score = self.q[at] @ x[cols].astype(self.exact).T
-        self.multiplied += score.size
-        cid = ids[cols]
+        score = self.q[at] @ cell.x[part][cols].T
+        cid = cell.ids[part][cols]
         good = (score > self.least[at, None]) | ((score == self.least[at, None]) & (cid[None, :] < self.least_id[at, None]))
         good &= cid[None, :] != self.ids[at, None]
         for i in np.flatnonzero(good.any(1)):
             j = np.flatnonzero(good[i])
-            s, c = score[i, j], cid[j]
+            found, c = score[i, j], cid[j]
             if len(j) > self.k:
-                pick = np.lexsort((c, -s))[: self.k]
-                s, c = s[pick], c[pick]
+                pick = np.lexsort((c, -found))[: self.k]
+                found, c = found[pick], c[pick]
             t = at[i]
-            best = sorted(self.top[t] + list(zip((-s).tolist(), c.tolist(), strict=True)))[: self.k]
+            best = sorted(self.top[t] + list(zip((-found).tolist(), c.tolist(), strict=True)))[: self.k]
             self.top[t] = best
-            if len(best) == self.k:
+            if len(best) == self.k and -best[-1][0] >= self.least[t]:
                 self.least[t], self.least_id[t] = -best[-1][0], best[-1][1]
+        return True
 
     def rows(self):
         return [(int(q), int(c), int(-s)) for q, best in zip(self.ids, self.top, strict=True) for s, c in best]
 
 
-def top_k(vectors: DataFrame, is_query, k: int = TOP_K, query_block: int = QUERY_BLOCK, head: int | None = None, **options) -> DataFrame:
+def _range_of(bounds: list[float], value: Column) -> Column:
+    """How many of the ascending bounds are at or below value, by bisection."""
+    if not bounds:
+        return F.lit(0)
+    held = F.lit([float(b) for b in bounds])
+    steps = F.lit([1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda n, k: F.when(F.get(held, n + k - 1) <= value, n + k).otherwise(n))
+
+
+def top_k(vectors: DataFrame, is_query, k: int = TOP_K, cell_values: int = CELL_VALUES, seeds: int = SEEDS, head: int | None = None, **options) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best other rows of each query, ties to the smaller id.
 
     is_query is a condition on ``vec_id``. Rows that repeat the query's id are not its candidates; repeated
-    rows with other ids all are; equal query rows give one list. Shorter vectors are filled up with zeros.
-    An empty table, or one without queries, gives none. Products beyond a long raise an error.
+    rows with other ids all are. Equal query rows give one list, and those of one id with other vectors one
+    list of all their scores. Rows with a null id or vector, or a null or non-finite component, take no part;
+    shorter vectors are filled up with zeros. An empty table, or one without queries, gives none. Products
+    beyond a long raise an error.
     """
+    import numpy as np
+
     data = cut(quantized(vectors, **options))
     spark = data.sparkSession
-    facts = data.agg(F.max(F.size("q")).alias("dims"), F.max("n2").alias("n2"), F.count(F.when(is_query, 1)).alias("queries")).first()
-    dims, queries = facts["dims"] or 0, facts["queries"]
-    if not dims or not queries:
+    facts = data.agg(F.max(F.size("q")).alias("dims"), F.max("n2").alias("n2"), F.count(F.lit(1)).alias("rows"), F.count(F.when(is_query, 1)).alias("queries")).first()
+    dims = facts["dims"] or 0
+    if not dims or not facts["queries"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     # sums of products of at most the squared length: exact in doubles below 2^53
-    exact = "float64" if facts["n2"] < 2**53 else "object"
+    exact = np.dtype("float64" if facts["n2"] < 2**53 else "object")
     basis = rotation(data, dims)
     head = head or max(1, dims // 4)
-    n_blocks = math.ceil(queries / query_block)
-    lanes = max(1, math.ceil(spark.sparkContext.defaultParallelism / n_blocks))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")
-    asked = data.where(is_query).dropDuplicates(["vec_id", "q"])
-    asked = asked.select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(0).alias("side"), "n2", "vec_id", "q")
-    offered = data.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.pmod(F.hash("vec_id"), F.lit(lanes)).alias("lane"), F.lit(1).alias("side"), "n2", "vec_id", "q")
-    met = asked.unionByName(offered).repartition(n_blocks * lanes, "block", "lane").sortWithinPartitions("block", "lane", "side", F.desc("n2"))
 
-    def search(batches):
-        import numpy as np
+    # ranges of length, at most MAX_RANGES, and cells of bounded size in each
+    cell_rows = max(1, min(cell_values // dims, math.ceil(facts["rows"] / spark.sparkContext.defaultParallelism)))
+    n = min(MAX_RANGES, math.ceil(facts["rows"] / cell_rows))
+    bounds = sorted(set(data.approxQuantile("n2", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
+    placed = data.withColumn("range", _range_of(bounds, F.col("n2")))
+    held = {r["range"]: r for r in placed.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.max("n2").alias("n2")).collect()}
+    lanes = [math.ceil(held[r]["n"] / cell_rows) if r in held else 0 for r in range(len(bounds) + 1)]
+    first_cell = np.concatenate([[0], np.cumsum(lanes)]).tolist()
+    cells = first_cell[-1]
+    longest = np.maximum.accumulate([math.sqrt(held[r]["n2"]) if r in held else 0.0 for r in range(len(bounds) + 1)]).tolist()
+
+    # each query's floor: its k-th best score among the longest vectors
+    long_rows = data.orderBy(F.desc("n2"), "vec_id").limit(seeds).select("vec_id", "q").collect()  # at most ``seeds`` rows
+    seed_ids = np.array([r["vec_id"] for r in long_rows], np.int64)
+    seed_x = np.zeros((len(long_rows), dims), np.int64)
+    for i, r in enumerate(long_rows):
+        seed_x[i, : len(r["q"])] = r["q"]
+    shared = spark.sparkContext.broadcast((seed_ids, seed_x, basis))
+
+    def floors(batches):
         import pyarrow as pa
 
-        def out(b):
-            rows = b.rows()
-            cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
-
-        now, current, pending = None, None, []
+        ids, x, _ = shared.value
+        for b in batches:
+            own, q = b.column("vec_id").to_numpy(), _matrix(b.column("q"), dims)
+            floor = np.full(len(own), -np.inf)
+            for at in range(0, len(own), QUERY_BLOCK):
+                part = slice(at, at + QUERY_BLOCK)
+                score = (q[part].astype(exact) @ x.astype(exact).T).astype(np.float64)
+                score[own[part, None] == ids[None, :]] = -np.inf
+                if score.shape[1] >= k:
+                    floor[part] = np.partition(score, -k, axis=1)[:, -k]
+            norm = np.sqrt(np.square(q.astype(np.float64)).sum(1))
+            # a little below, so that rounding loses no candidate; an object product is rounded to a double too
+            floor = np.where(floor > -np.inf, floor - (0.0 if exact == np.float64 else 1.0) * (1 + 1e-9 * np.abs(floor)), floor)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                need = np.where(norm > 0, (floor - 1e-6 * (1 + np.abs(floor))) / norm, -np.inf)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("q"), pa.array(floor), pa.array(need)], names=["vec_id", "q", "floor", "need"])
+
+    asked = data.where(is_query).select("vec_id", "q").dropDuplicates(["vec_id", "q"]).mapInArrow(floors, "vec_id long, q array<long>, floor double, need double")
+    # ranges whose longest vector is under ``need`` come first; the query goes to the cells of the others
+    below = F.get(F.lit([*first_cell[:-1], cells]), _range_of([float(np.nextafter(x, np.inf)) for x in longest], F.col("need")))
+    asked = asked.withColumn("below", below.cast("long")).where(F.col("below") < cells)
+    asked = asked.select(F.explode(F.sequence("below", F.lit(cells - 1).cast("long"))).alias("cell"), F.lit(1).alias("side"), F.lit(0.0).alias("n2"), "vec_id", "q", "floor")
+    lane = F.pmod(F.xxhash64("vec_id"), F.get(F.lit([max(1, x) for x in lanes]), F.col("range")))
+    offered = placed.select((F.get(F.lit(first_cell), F.col("range")) + lane).cast("long").alias("cell"), F.lit(0).alias("side"), "n2", "vec_id", "q", F.lit(None).cast("double").alias("floor"))
+    met = asked.unionByName(offered).repartition(min(cells, 20_000), "cell").sortWithinPartitions("cell", "side")
 
-        def begin():
-            ids = np.concatenate([i for i, _ in pending]) if pending else np.zeros(0, np.int64)
-            q = np.concatenate([x for _, x in pending]) if pending else np.zeros((0, dims), np.int64)
-            return Block(ids, q, basis, head, k, np.dtype(exact))
+    def search(batches):
+        import pyarrow as pa
 
+        basis = shared.value[2]
+        now, cell, pending = None, None, []
         for b in batches:
-            blocks, lane, side = (b.column(c).to_numpy() for c in ("block", "lane", "side"))
+            key, side, floor = (b.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "side", "floor"))
             ids, x = b.column("vec_id").to_numpy(), _matrix(b.column("q"), dims)
-            key = blocks.astype(np.int64) * lanes + lane
-            edges = np.flatnonzero(np.diff(key * 2 + side)) + 1
+            edges = np.flatnonzero((np.diff(key) != 0) | (np.diff(side) != 0)) + 1
             for lo, hi in zip([0, *edges], [*edges, len(key)], strict=True):
                 if lo == hi:
                     continue
                 if key[lo] != now:
-                    if current is not None:
-                        yield out(current)
-                    now, current, pending = key[lo], None, []
+                    now, cell, pending = key[lo], None, []
                 if side[lo] == 0:
                     pending.append((ids[lo:hi].copy(), x[lo:hi].copy()))
                     continue
-                if current is None:
-                    current = begin()
-                for at in range(lo, hi, CHUNK):
-                    if current.done or not len(current.ids):
-                        break
-                    current.offer(ids[at : min(hi, at + CHUNK)], x[at : min(hi, at + CHUNK)])
-        if current is not None:
-            yield out(current)
+                if cell is None:
+                    if not pending:  # repeated ids may leave a cell empty
+                        continue
+                    cell = Cell(*(np.concatenate(p) for p in zip(*pending, strict=True)), basis, head, exact)
+                    pending = []
+                for at in range(lo, hi, QUERY_BLOCK):
+                    part = slice(at, min(hi, at + QUERY_BLOCK))
+                    block = Block(ids[part], x[part], floor[part], basis, head, k, exact)
+                    block.meet(cell)
+                    rows = block.rows()
+                    cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
     found = met.mapInArrow(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
