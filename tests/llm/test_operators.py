@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tidelog.llm import licences, mixing, pages, pieces, pseudonyms, quality, search, secrets, simhash, tokens
 
 SF = "/root/testdata/sf0.001"
-ODD = ["fp", "n", "key", "size", "z", "h", "text_", "base", "found", "kinds_"]
+KEY = "a key"
+ODD = ["fp", "n", "key", "size", "z", "h", "text_", "base", "found", "kinds", "row", "v", "m", "new", "id", "own", "i", "o", "own_id", "own_fp", "__n"]
 TEXTS = [
     None, "", " \n\t ", "one", "password = 'hunter22' and token: abcdefgh1",
     "The quick brown fox jumps over the lazy dog and runs away from the cat that sleeps near the old stone wall today",
@@ -183,19 +184,106 @@ def test_secrets(request, which):
     assert all(not re.search(r"[0-9a-f]{24,}|AKIA[A-Z0-9]{16,}", t or "") for _, t in all_texts(clean))
 
 
+def plain_score(token, enc):
+    """The battery in plain Python."""
+    tail = lambda z: max(math.erfc(z / math.sqrt(2)) / 2, 1e-300)
+    chi = lambda x, df: tail(((max(x, 1e-9) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    runs = lambda x: sum(1 for _ in itertools.groupby(x))
+    squares = lambda x, size: sum(v * v for v in collections.Counter(x).values()) * size / len(x) - len(x)
+    b = token.rstrip("=")
+    n = len(b)
+    if enc == secrets.HEX_DIGITS:
+        b = b.lower()
+        letters = sum(c.isalpha() for c in b)
+        ps = [chi((letters - n * 0.375) ** 2 / (n * 0.375) + (letters - n * 0.375) ** 2 / (n * 0.625), 1), chi(squares(b, 16), 15)]
+        ps.append(tail(abs(runs([int(c, 16) > 7 for c in b]) - 1 - (n - 1) / 2) / math.sqrt((n - 1) / 4)))
+    else:
+        chances = secrets.CHANCES[enc]
+        kinds = ["u" if c.isupper() else "l" if c.islower() else "d" for c in b]
+        cells = [(kinds.count(k), p) for k, p in zip("uld", chances, strict=True) if p]
+        low = "".join(c for c in b if c.isalpha()).lower()
+        m, change, v = len(low), 1 - sum(p * p for p in chances), 5 / 26
+        turn = 2 * v * (1 - v)
+        ps = [chi(sum((c - n * p) ** 2 / (n * p) for c, p in cells), len(cells) - 1), chi(squares(low, 26), 25) if m > 1 else 1.0]
+        ps.append(tail(((n - 1) * change - (runs(kinds) - 1) - 0.5) / math.sqrt((n - 1) * change * (1 - change))))
+        ps.append(tail((sum(c in "aeiou" for c in low) - m * v - 0.5) / math.sqrt(max(m, 1) * v * (1 - v))))
+        ps.append(tail((runs([c in "aeiou" for c in low]) - 1 - (m - 1) * turn - 0.5) / math.sqrt(max(m - 1, 1) * turn * (1 - turn))) if m > 1 else 1.0)
+    return -2 * sum(map(math.log, ps))
+
+
+B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+@pytest.mark.parametrize("which", ["docs", "real"])
+@pytest.mark.parametrize("module, name", [(quality, "quality_base"), (secrets, "secret_base"), (licences, "licence_base")])
+def test_base_columns_equal_sql(spark, request, tmp_path, which, module, name):
+    import duckdb
+
+    df = request.getfixturevalue(which)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.register("documents", df.select("doc_id", "text").toPandas())
+    got = sorted(map(tuple, module.QUERIES[name](spark, str(tmp_path)).collect()), key=str)
+    columns = module.QUERIES[name](spark, str(tmp_path)).columns
+    found = c.execute(module.SQL[name])
+    assert columns == [x[0] for x in found.description] and got == sorted(found.fetchall(), key=str)
+
+
+def test_secret_battery_equals_a_plain_one(spark):
+    import random
+
+    rng = random.Random(4)
+    tokens = [("".join(rng.choices(a, k=n)) + "a0", e) for n in (18, 30, 61, 200) for e, a in enumerate(("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", B64)) for _ in range(5)]
+    tokens += [("ThisIsAnOrdinaryIdentifierNumber1", 3), ("AbAbAbAbAbAbAbAbAbAbAb1", 3), ("0000000000000000000a", 0), ("1234567890123456789z", 2), ("AAAAAAAAAAAAAAAAAAAAAAAA2", 1)]
+    df = spark.createDataFrame(tokens, "t string, e int").select("t", "e", secrets.score(F.col("t"), F.col("e")).alias("x"))
+    for r in df.collect():
+        want = plain_score(r.t, r.e)
+        assert abs(r.x - want) < 0.02 * want + 0.02, r  # the tail is good to seven digits, far out to less
+
+
+def test_secret_limits():
+    decoys = {(3, 1, b): 10 for b in range(20, 30)}
+    assert secrets.limits({(3, 1, 5): 40, (3, 1, 25): 40}, decoys, 0.05) == {(3, 1): 5}
+    assert secrets.limits({(3, 1, 25): 40}, decoys, 0.05) == {} and secrets.limits({(2, 1, 5): 40}, decoys, 0.05) == {} and secrets.limits({}, decoys, 0.05) == {}
+
+
 def test_secret_randomness(spark):
     import random
 
     rng = random.Random(3)
-    random_ = ["".join(rng.choices(secrets.BASE64, k=40)) for _ in range(40)]
-    random_ = [x for x in random_ if re.fullmatch("[A-Za-z0-9+/]+", x)]
-    plain = ["ThisIsAnOrdinaryIdentifierNumber1ForTheTestOfThis", "AbAbAbAbAbAbAbAbAbAbAbAbAb1111", "HelloHelloHelloHelloHelloHello12", "Version2ReleaseNotesDraftDraftDraft"] * 10
+    vocabulary = "request handler account session manager default value stream reader config parser index update cache token buffer window event listener factory node tree client server response queue thread pool image render shader matrix vector point layer audio channel".split()
+
+    def identifier(n):
+        out = ""
+        while len(out) < n - 3:
+            out += rng.choice(vocabulary).capitalize()
+        k = rng.randint(1, 3)
+        return out[: n - k] + "".join(rng.choices("0123456789", k=k))
+
+    def random_token(n):
+        while True:
+            x = "".join(rng.choices(B64[:62], k=n))
+            if re.search("[0-9]", x) and re.search("[a-z]", x) and re.search("[A-Z]", x):
+                return x
+
+    random_ = [random_token(rng.randint(20, 32)) for _ in range(400)]
+    plain = [identifier(rng.randint(20, 32)) for _ in range(400)]
     df = spark.createDataFrame([(i, f"see {x} here") for i, x in enumerate(random_ + plain)], "doc_id long, text string")
     hit = {r.doc_id for r in secrets.scan(df).where(F.size("found") > 0).collect()}
-    assert len(hit & set(range(40))) >= 36 and not hit & set(range(40, 80))
+    assert len(hit & set(range(400))) > 360 and len(hit & set(range(400, 800))) < 20
+    alone = spark.createDataFrame([(i, f"see {x} here") for i, x in enumerate(plain)], "doc_id long, text string")
+    assert secrets.scan(alone).where(F.size("found") > 0).count() < 20
     many = spark.createDataFrame([(1, "ab " + " ".join(hashlib.sha1(str(i).encode()).hexdigest() for i in range(700)))], "doc_id long, text string")
     found = secrets.scan(many).first().base
     assert [(x.s, x.e) for x in found] == [(3 + 41 * i, 43 + 41 * i) for i in range(700)]
+    long_ = spark.createDataFrame([(1, "x " + B64 * 4000 + " y")], "doc_id long, text string")
+    assert secrets.scan(long_).count() == 1
+
+
+def test_redact_keeps_columns(spark):
+    df = spark.createDataFrame([(1, "password = hunter2222 x", "mine", 7, "r"), (1, None, "mine", 8, "s"), (None, "", None, 9, "t")], "doc_id long, text string, __h string, row int, `a.b` string")
+    got = secrets.redact(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=str) == sorted([(1, "[SECRET] x", "mine", 7, "r"), (1, None, "mine", 8, "s"), (None, "", None, 9, "t")], key=str)
 
 
 def test_mixing(spark, docs, real):
@@ -208,28 +296,34 @@ def test_mixing(spark, docs, real):
         want = c.execute(mixing.SQL["op1_mix_sources"]).fetchdf()
         for x in (got, want):
             x.sort_values(list(x.columns), inplace=True, ignore_index=True)
-        if df is real:
-            assert got.astype(str).equals(want[got.columns].astype(str))
+        assert got.astype(str).equals(want[got.columns].astype(str))
         assert (got.taken <= 3 * got["size"]).all()
     by = got.merge(real.select("doc_id", "source").toPandas()).groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), most=("size", "max"))
     assert (abs(by.taken - by.target) <= by.most).all()
+    odd = spark.createDataFrame([(7, " ".join(["w"] * n), "s", k, "mine", 1) for n, k in ((10, 1), (40, 2), (10, 3), (10, 3), (10, 3))] + [(None, "a b", None, 4, "mine", 1)] * 600, "doc_id long, text string, source string, k int, __id string, __n int")
+    n_words = lambda rows: sum(len(words(r.text)) for r in rows)
+    for df in (odd, docs):
+        mixed = mixing.mixed_documents(df)
+        assert mixed.columns == df.columns
+        assert n_words(mixed.collect()) == sum(r.taken for r in mixing.mix(df).collect())
+    assert {tuple(r) for r in mixing.mixed_documents(odd).collect()} <= {tuple(r) for r in odd.collect()}
     copies = collections.Counter(r.doc_id for r in mixing.mixed_documents(real).collect())
     assert copies == {r.doc_id: r.taken // r["size"] for r in mixing.mix(real).where("taken > 0").collect()}
 
 
 def test_pseudonyms(spark, docs):
-    once = pseudonyms.replaced(docs)
+    once = pseudonyms.replaced(docs, KEY)
     got = {r.doc_id: r for r in once.collect()}
-    assert got[10].kinds == ["phone", "email", "card", "ip", "date"] and got[5].text == TEXTS[5] and got[0].text is None
+    assert got[10]._kinds == ["phone", "email", "card", "ip", "date"] and got[10].kinds == "odd" and once.columns == [*docs.columns, "_kinds"] and got[5].text == TEXTS[5] and got[0].text is None
     new = got[10].text
     assert not any(x in new for x in ("555-0199", "ann.lee7", "4111 1111", "10.2.3.4", "2024-02-29"))
     assert re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4} or mail [a-z]{3}\.[a-z]{3}\d@mail\.example\.com, card (\d{4} ){3}\d{4}, ip [\d.]+, on \d{4}-\d{2}-\d{2}", new)
-    back = pseudonyms.replaced(once, reveal=True)
+    back = pseudonyms.replaced(once, KEY, reveal=True)
     assert {r.doc_id: r.text for r in back.collect()} == dict(enumerate(TEXTS))
     other = pseudonyms.replaced(docs, key="another").where("doc_id = 10").first().text
     assert other != new
     same = spark.createDataFrame([(1, "4111-1111-1111-1111"), (2, "x 4111 1111 1111 1111"), (3, "4111111111111111")], "doc_id long, text string")
-    assert len({re.sub("[^0-9]", "", r.text) for r in pseudonyms.replaced(same).collect()}) == 1
+    assert len({re.sub("[^0-9]", "", r.text) for r in pseudonyms.replaced(same, KEY).collect()}) == 1
 
 
 def test_pseudonyms_of_accounts(spark):
@@ -240,7 +334,7 @@ def test_pseudonyms_of_accounts(spark):
     ibans = ["GB29NWBK60161331926819", "NL91 ABNA 0417 1643 00", "FR1420041010050500013M02606", "DE89370400440532013000", "MT84MALT011000012345MTLCAST001S"]
     texts = [f"pay to {x} NEXT WEEK 1234" for x in ibans] + ["GB30NWBK60161331926819 is wrong", "in 2024 4111 1111 1111 1111", "4111111111111111", "years 2019 2020 2021 2022", "years 2018 2019 2020 2021 2022"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    once = pseudonyms.replaced(df)
+    once = pseudonyms.replaced(df, KEY)
     got = {r.doc_id: r for r in once.collect()}
     for i, x in enumerate(ibans):
         new = got[i].text.removeprefix("pay to ").removesuffix(" NEXT WEEK 1234")
@@ -248,7 +342,44 @@ def test_pseudonyms_of_accounts(spark):
         assert [(c.isdigit(), c.isupper(), c == " ") for c in new] == [(c.isdigit(), c.isupper(), c == " ") for c in x]
     assert all(got[i].text == texts[i] and not got[i].kinds for i in (5, 8, 9))
     assert got[6].kinds == ["card"] and got[6].text.startswith("in 2024 ") and got[6].text[8:].replace(" ", "") == got[7].text
-    assert {r.doc_id: r.text for r in pseudonyms.replaced(once, reveal=True).collect()} == dict(enumerate(texts))
+    assert {r.doc_id: r.text for r in pseudonyms.replaced(once, KEY, reveal=True).collect()} == dict(enumerate(texts))
+
+
+def test_pseudonyms_equal_a_plain_network(spark):
+    def draw(kind, *parts):
+        return int(hashlib.sha256("|".join([KEY, kind, *map(str, parts)]).encode()).hexdigest()[:15], 16)
+
+    def network(left, right, a, b, kind):
+        for i in range(10):
+            mod = b if i % 2 else a
+            left, right = right, (left + draw(kind, a, b, i, right)) % mod
+        return left, right
+
+    def digits(d, kind):
+        u = len(d) // 2
+        left, right = network(int(d[:u] or 0), int(d[u:]), 10**u, 10 ** (len(d) - u), kind)
+        return (str(left).zfill(u) if u else "") + str(right).zfill(len(d) - u)
+
+    def check(body):
+        return (10 - sum(sum(divmod(2 * int(c), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(body))) % 10) % 10
+
+    def number(d, kind):
+        off = int(d[-1]) - check(d[:-1])
+        return (body := digits(d[:-1], kind)) + str((check(body) + off) % 10)
+
+    def ssn(v):
+        area, group, serial = map(int, v.split("-"))
+        left, right = network(area - 1 - (area > 666), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, "ssn")
+        return f"{left + 1 + (left >= 665):03d}-{right // 9999 + 1:02d}-{right % 9999 + 1:04d}"
+
+    ssns = ["123-45-6789", "899-99-9999", "001-01-0001", "665-10-0100", "667-10-0100"]
+    numbers = ["1234567890123", "9876543210987654321", "4111111111111111", "30569309025904"]
+    df = spark.createDataFrame(list(enumerate(ssns + numbers + ["666-12-1234", "900-12-1234", "123-00-1234", "123-45-0000"])), "doc_id long, text string")
+    got = [r.text for r in pseudonyms.replaced(df, KEY).orderBy("doc_id").collect()]
+    assert got[:5] == [ssn(x) for x in ssns]
+    assert got[5:9] == [number(x, "card" if check(x[:-1]) == int(x[-1]) else "number") for x in numbers]
+    assert got[9:] == ["666-12-1234", "900-12-1234", "123-00-1234", "123-45-0000"]
+    assert pseudonyms.replaced(df.limit(0), KEY).count() == 0
 
 
 def test_feistel_permutes(spark):
@@ -272,9 +403,15 @@ def test_search(spark):
         if i % 20 == 0:
             best = sorted((-sum(a * b for a, b in zip(q, x, strict=True)), j) for j, x in ok if j != i)[:20]
             want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
-    for block in (2048, 3):
-        got = search.top_k(df, F.col("vec_id") % 20 == 0, query_block=block)
+    for cell, seeds in ((4_000_000, 2048), (60, 40), (6, 5), (600, 30)):
+        got = search.top_k(df, F.col("vec_id") % 20 == 0, cell_values=cell, seeds=seeds)
         assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    # one id with two vectors, a repeated row, a short vector, vectors of zeros
+    odd = spark.createDataFrame([(0, [1.0, 2.0]), (0, [3.0, -1.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [2.0]), (3, [0.0, 0.0]), (20, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    scores = {0: [(64 * 64 * s, j) for s, j in ((3, 1), (3, 1), (2, 2), (0, 3), (0, 20), (2, 1), (2, 1), (6, 2), (0, 3), (0, 20))], 20: [(0, j) for j in (0, 0, 1, 1, 2, 3)]}
+    for k in (3, 20):
+        want = [(q, r + 1, j, -s) for q, x in scores.items() for r, (s, j) in enumerate(sorted((-s, j) for s, j in x)[:k])]
+        assert sorted(tuple(r) for r in search.top_k(odd, F.col("vec_id") % 20 == 0, k=k).collect()) == sorted(want)
     assert search.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     huge = spark.createDataFrame([(0, [2.0**24, 1.0]), (1, [2.0**24, 3.0])], "vec_id long, embedding array<double>")
     assert [r.score for r in search.top_k(huge, F.col("vec_id") == 0).collect()] == [2**60 + 64 * 192]
@@ -367,7 +504,8 @@ def test_pieces(request, which):
     assert {(r.doc_id, tuple(s.digest for s in r.samples)) for r in enc.collect()} == {(r.doc_id, tuple(s.digest for s in r.samples)) for r in pieces.encode(df.repartition(3), samples=3, group_chars=500).collect()}
 
 
-def test_piece_distribution():
+@pytest.mark.parametrize("near_nats", [pieces.NEAR_NATS, 0.2, math.inf])
+def test_piece_distribution(near_nats):
     import numpy as np
 
     m = pieces.model(pieces.model_path(), pieces.SCALE)
@@ -384,7 +522,7 @@ def test_piece_distribution():
     p = np.exp([sum(m.logw[i] for i in x) for x in every])
     p = dict(zip(every, p / p.sum(), strict=True))
     n = 4000
-    _, drawn = pieces.encode_group(m, [text] * n, pieces.mix64(np.arange(n, dtype=np.uint64)), 2)
+    _, drawn = pieces.encode_group(m, [text] * n, pieces.mix64(np.arange(n, dtype=np.uint64)), 2, near_nats)
     seqs = [[tuple(ids_[cut[i] : cut[i + 1]].tolist()) for i in range(n)] for _, ids_, cut, _, _ in drawn]
     assert all(a != b for a, b in zip(*seqs, strict=True))
     for x, want in sorted(p.items(), key=lambda kv: -kv[1])[:3]:
@@ -398,7 +536,7 @@ def test_piece_distribution():
 
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
-    for f in (simhash.near_duplicates, mixing.mix, pseudonyms.replaced, secrets.scan, tokens.count_tokens, licences.scan, pieces.encode, lambda d: quality.judge(d, [])):
+    for f in (simhash.near_duplicates, simhash.dedup, mixing.mix, mixing.mixed_documents, lambda d: pseudonyms.replaced(d, KEY), secrets.scan, secrets.redact, tokens.count_tokens, licences.scan, pieces.encode, lambda d: quality.judge(d, [])):
         assert f(none).count() == 0
     assert pages.extract(none.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"), F.col("text").alias("html"))).count() == 0
 
@@ -507,3 +645,19 @@ def test_words_of_many_pieces():
                 assert ids.tolist() == ids1.tolist() and abs(lp[i] - lp1[0]) < 1e-6 and abs(inc[i] - inc1[0]) < 1e-6
             if i != 3:  # all characters are pieces
                 assert abs(lp[i] - (m.logw[ids].sum() - logz[i])) < 1e-6
+
+
+@pytest.mark.parametrize("alphabet", ["漢字仮名交文", "0123456789", "ABCDEFabcdef0123456789+/", "ab"])
+def test_samples_after_long_runs(alphabet):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(11)
+    m = pieces.model(pieces.model_path(), pieces.SCALE)
+    texts = [("".join(rng.choices(alphabet, k=n)) + " and then some words follow here").strip() for n in (5_000, 12_000, 50_000)] * 2
+    for k in (2, 3):
+        (ids, cut, same), drawn = pieces.encode_group(m, texts, pieces.mix64(np.arange(len(texts), dtype=np.uint64)), k)
+        assert same.all() and [ids[a:b].tolist() for a, b in itertools.pairwise(cut)] == [m.sp.encode(t) for t in texts]
+        for alive, got, at, _, _ in drawn:
+            assert alive.all() and [m.sp.decode(got[a:b].tolist()) for a, b in itertools.pairwise(at)] == texts

@@ -22,10 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import free_name, let, table
 
 ROUNDS = 10
-DEFAULT_KEY = "example key, replace"
+#: Where the registered query finds its key, and what it takes without one. Operators have no default.
+KEY_SETTING, EXAMPLE_KEY = "spark.tidelog.pseudonyms.key", "example key, replace"
 
 #: Length of the IBANs of each country, so that words in capitals after one are not taken with it.
 IBAN_LENGTHS = {
@@ -269,25 +270,28 @@ def pseudonym(v: Column, kind: Column, key: str, reveal: bool = False) -> Column
     return out.when(kind == "card", _card(v, key, "card", reveal)).when(kind == "number", _card(v, key, "number", reveal)).otherwise(v)
 
 
-def replaced(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text", reveal: bool = False) -> DataFrame:
-    """docs with pseudonyms in the text column, and ``kinds``, the array of the kinds replaced, in order.
+def replaced(docs: DataFrame, key: str, text_col: str = "text", kinds_col: str = "kinds", reveal: bool = False) -> DataFrame:
+    """docs with pseudonyms in the text column, and the array of the kinds replaced, in order, in a column more.
 
-    Strings that look like a kind and fail its checks stay, as do null and empty texts. All rows and other
-    columns stay; a column ``kinds`` of docs is replaced. With reveal, pseudonyms of the same key are undone.
+    That column is ``kinds_col``, with underscores in front if docs has one of that name. Strings that look
+    like a kind and fail its checks stay, as do null and empty texts. All rows, repeated ones too, and all
+    other columns stay. With reveal, pseudonyms of the same key are undone. The key is part of the query
+    plan: who may read plans may reveal. An empty table gives none.
     """
-    t = F.col(text_col)
-    names = [c for c in docs.columns if c != "kinds"]
-    df = docs.select(*[F.col(c) for c in names], F.regexp_extract_all(t, F.lit(ANY), F.lit(0)).alias("__m"))
-    df = df.withColumn("__v", F.transform("__m", lambda v: F.struct(v.alias("v"), kind_of(v).alias("kind"))))
-    df = df.withColumn("__new", F.when(F.size("__v") > 0, F.transform("__v", lambda x: pseudonym(x["v"], x["kind"], key, reveal))))
+    kinds_col = free_name(docs, kinds_col)
+    t = F.col(f"row.`{text_col}`")
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    df = df.select("row", F.regexp_extract_all(t, F.lit(ANY), F.lit(0)).alias("m"))
+    df = df.withColumn("v", F.transform("m", lambda v: F.struct(v.alias("v"), kind_of(v).alias("kind"))))
+    df = df.withColumn("new", F.when(F.size("v") > 0, F.transform("v", lambda x: F.coalesce(pseudonym(x["v"], x["kind"], key, reveal), x["v"]))))
     pieces = F.split(t, ANY, -1)
-    text = F.when(F.size("__m") > 0, F.array_join(F.flatten(F.zip_with(pieces, F.col("__new"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")).otherwise(t)
-    kinds = F.filter(F.transform("__v", lambda x: x["kind"]), lambda k: k.isNotNull())
-    return df.select(*[text.alias(c) if c == text_col else F.col(c) for c in names], F.coalesce(kinds, F.array().cast("array<string>")).alias("kinds"))
+    text = F.when(F.size("m") > 0, F.array_join(F.flatten(F.zip_with(pieces, F.col("new"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")).otherwise(t)  # after the last piece there is no match
+    kinds = F.filter(F.transform("v", lambda x: x["kind"]), lambda k: k.isNotNull())
+    return df.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns], F.coalesce(kinds, F.array().cast("array<string>")).alias(kinds_col))
 
 
 def op2(spark, sf_dir):
-    df = replaced(table(spark, sf_dir, "documents"))
+    df = replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(KEY_SETTING, EXAMPLE_KEY))
     count = lambda name: F.size(F.filter("kinds", lambda k: k == name)).cast("long").alias(f"n_{name}")
     counts = [count(name) for name in KINDS]
     return df.select("doc_id", "text", *counts)
