@@ -5,8 +5,8 @@ thresholds by information gain on two thirds of the labelled rows, prunes it on
 (p - n) / (p + n), keeps it if its precision there is high enough, removes what it covers, and goes on.
 The list rejects on its first rule that holds; a document that no rule covers is kept.
 
-Repeated 8-word windows are found by 64-bit hashes of windows inside a text; at 20,000 words a text's
-chance of a false repeat is about 1e-11.
+Repeated 8-word windows are found by 64-bit hashes of windows inside a text, and compared word by word
+where hashes meet.
 """
 
 from __future__ import annotations
@@ -30,10 +30,11 @@ MAX_FIT_ROWS = 4000
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper, n_bangs, n_lines, n_kinds``.
 
-    A null text counts as empty. With keep, ``row`` has the whole row of docs as a struct.
+    A null text counts as empty. With keep, ``row`` has the whole row of docs as a struct, so that no name
+    clashes. A row for each row, repeated ones too; an empty table gives none.
     """
     t = F.col("t")
-    row = [F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if keep else []
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []
     df = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t"), *row)
     row = ["row"] if keep else []
     bare = F.btrim(t, F.lit(WS))
@@ -59,7 +60,9 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # A filter on the results must not be moved below this step, where each array would be made anew for
     # each element; a step that is not deterministic stops it.
     df = df.withColumn("z", F.when(F.col("twice") & (F.monotonically_increasing_id() >= 0), z))
-    again = F.filter(F.col("z"), lambda x, k: x["h"].eqNullSafe(F.get("z", k - 1)["h"]) | x["h"].eqNullSafe(F.get("z", k + 1)["h"]))
+    words = lambda x: F.slice("w", x["i"] + 1, F.lit(WINDOW))
+    meets = lambda x, y: x["h"].eqNullSafe(y["h"]) & (words(x) == words(y))
+    again = F.filter(F.col("z"), lambda x, k: meets(x, F.get("z", k - 1)) | meets(x, F.get("z", k + 1)))
     starts = F.sort_array(F.transform(again, lambda x: x["i"]))
     covered = F.aggregate(
         starts,
@@ -214,5 +217,25 @@ def op4(spark, sf_dir):
     return judge(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op4_quality_rules": op4}
-SQL: dict[str, str] = {}
+def base(spark, sf_dir):
+    """The columns of op4 that no learning goes into, which SQL can express."""
+    found = judge(table(spark, sf_dir, "documents"), [])
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+QUERIES = {"op4_quality_rules": op4, "quality_base": base}
+SQL = {
+    "quality_base": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+s AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+p AS (SELECT r, unnest(range(1, len(w) - 6)) AS i, w FROM s WHERE len(w) >= 8),
+q AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i:i+7]) AS n FROM p),
+c AS (SELECT r, count(DISTINCT i + j) AS n FROM q, (SELECT unnest(range(0, 8)) AS j) WHERE n > 1 GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+       CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+       CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, len(w) < 20 OR 100 * coalesce(c.n, 0) > 30 * len(w) AS base_failed
+FROM s LEFT JOIN c USING (r)
+"""
+}
