@@ -15,11 +15,14 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from .common import cut, table, word_count
+from .common import HOT_SHARE, cut, table, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
+#: Copies of a row that are written in a row.
+PORTION = 256
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, repeats: int = MAX_REPEATS) -> DataFrame:
@@ -45,8 +48,8 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, repeats: int = MAX_REPEATS
     return per.select("skey", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def shuffled(docs: DataFrame, seed: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``doc_id, source, skey, key, size``: size in words, key the place in the source's shuffle."""
+def shuffled(docs: DataFrame, seed: str, own: Column, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``doc_id, source, skey, key, size, own``: size in words, key the place in the source's shuffle."""
     source = F.col(source_col).cast("string")
     return docs.select(
         F.col(id_col).alias("doc_id"),
@@ -54,6 +57,7 @@ def shuffled(docs: DataFrame, seed: str, id_col: str = "doc_id", text_col: str =
         F.coalesce(F.concat(F.lit("="), source), F.lit("null")).alias("skey"),
         F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))).alias("key"),
         word_count(text_col).alias("size"),
+        own.alias("own"),
     )
 
 
@@ -98,7 +102,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = MAX_REPEATS, seed: str
     Null texts have size 0, null sources form one source, documents without words are never taken. Rows
     that repeat an id are separate documents. An empty table gives none; reruns agree.
     """
-    sized = cut(shuffled(docs, seed, id_col, text_col, source_col))
+    return _mixed(docs, F.lit(0).cast("long"), weights, repeats, seed, id_col, text_col, source_col).drop("own")
+
+
+def _mixed(docs: DataFrame, own: Column, weights=WEIGHTS, repeats: int = MAX_REPEATS, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    sized = cut(shuffled(docs, seed, own, id_col, text_col, source_col))
     rows = sized.count()
     digits = max(1, math.ceil(math.log(max(rows, 2), 256)))
     sized = sized.withColumn("range", F.substring("key", 1, digits))
@@ -108,18 +116,35 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = MAX_REPEATS, seed: str
     base = sums.withColumn("base", F.sum("words").over(before) - F.col("words")).drop("words").join(targets, "skey")
     inside = Window.partitionBy("skey", "range").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     queued = sized.join(base, ["skey", "range"]).withColumn("queued", F.sum("size").over(inside) + F.col("base"))
-    queued = cut(queued.select("doc_id", "key", "size", "source_size", "target", "queued"))
+    queued = cut(queued.select("doc_id", "key", "size", "source_size", "target", "queued", "own"))
     finish = [(F.lit(k) * F.col("source_size") + F.col("queued")).cast("double") / F.when(F.col("target") > 0, F.col("target")) for k in range(repeats)]
     copies = F.when(F.col("size") > 0, F.coalesce(_taken(rows, finish, queued, repeats), F.lit(0))).otherwise(0)
     return queued.withColumn("copies", copies.cast("int")).withColumn("taken", (F.col("size") * F.col("copies")).cast("long"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. Rows that repeat an id share their copies by size."""
-    found = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__n"))
-    found = found.groupBy("__id").agg(F.max("__n").alias("__n"))
-    out = docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]))
-    return out.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__id", "__n", "__k")
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it; columns and their names stay.
+
+    Rows that share an id are told apart by a hash of all their columns; rows that are equal in all of them
+    are interchangeable and together stand as often as the mix takes them. Null ids take part.
+    """
+    own = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if not isinstance(docs.schema[c].dataType, MapType)])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), own.alias("own"))
+    found = _mixed(docs, own, id_col=id_col, text_col=text_col, **options)
+    found = cut(found.groupBy(F.col("doc_id").alias("i"), F.col("own").alias("o")).agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("rows")).where("n > 0"))
+    key = F.col("id").eqNullSafe(F.col("i")) & (F.col("own") == F.col("o"))
+    out = rows.join(found.where("rows = 1"), key).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("row.*")
+    total, n_many = found.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count_if(F.col("rows") > 1)).first()
+    if not n_many:
+        return out
+    # equal rows become one on the way to the shuffle; its copies are dealt out again in portions
+    many = found.where("rows > 1")
+    hot = F.col("rows") > total / HOT_SHARE  # at most a thousand
+    equal = rows.join(F.broadcast(many.where(hot)), key, "left_semi").unionByName(rows.join(many.where(~hot), key, "left_semi"))
+    one = equal.groupBy("id", "own").agg(F.first("row").alias("row")).join(many, key)
+    dealt = one.select("row", "n", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PORTION))).alias("p")).repartition("own", "p")
+    again = dealt.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(PORTION), F.col("n") - F.col("p") * PORTION)))).select("row.*")
+    return out.unionByName(again)
 
 
 def op1(spark, sf_dir):

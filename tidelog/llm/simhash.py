@@ -204,6 +204,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     own_id, own_fp = free_name(docs, "own_id"), free_name(docs, "own_fp")
     keyed = docs.withColumn(own_id, F.col(id_col).cast("long"))
     single = keyed.join(best.where("id IS NOT NULL").join(again.select("id"), "id", "left_anti").select(F.col("id").alias(own_id)), own_id, "left_semi")
+    if not again.limit(1).count() and not near.where("doc_id IS NULL").limit(1).count():
+        return single.select(*docs.columns)
     shared = look_up(keyed, again.withColumnRenamed("id", own_id), own_id, total, "left_semi").unionByName(keyed.where(F.col(own_id).isNull()))
 
     def run(batches):
