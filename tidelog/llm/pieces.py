@@ -32,9 +32,9 @@ SPACE = "▁"
 SCALE = 0.0005
 SAMPLES = 2
 #: Characters of the texts sampled together.
-GROUP_CHARS = 400_000
+GROUP_CHARS = 1_600_000
 #: Edges of the word lattices that a worker keeps; a word has 20 or so.
-MAX_EDGES = 4_000_000
+MAX_EDGES = 8_000_000
 #: Entropy of the words of a text whose untaken choices are looked at first.
 NEAR_NATS = 40.0
 UNKNOWN_PENALTY = 10.0
@@ -68,33 +68,31 @@ class Model:
         score = np.array([sp.get_score(i) for i in range(n)])
         self.unknown = scale * (min(score[normal]) - UNKNOWN_PENALTY)
         self.logw = scale * score
-        by: dict[int, list] = {}
-        #: by length, which hashes (by their first 18 bits) begin a piece of that length or more
+        #: by length, which hashes (by 18 bits of their product with mult) begin a piece of that length or more
         self.begins = {k: np.zeros(1 << 18, bool) for k in range(1, self.longest + 1)}
+        #: the pieces' hashes and ids by the same bits, or at the next free place
+        self.keys, self.ids, self.lengths = np.zeros(1 << 18, np.uint64), np.full(1 << 18, -1, np.int32), set()
         for i in normal:
             h = 0
             for k, c in enumerate(text[i]):
                 h = (h * int(self.mult) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
-                self.begins[k + 1][h >> 46] = True
-            by.setdefault(len(text[i]), []).append((h, i))
-        self.keys, self.ids, self.sieve = {}, {}, {}
-        for length, rows in by.items():
-            rows.sort()
-            if len({h for h, _ in rows}) < len(rows):
-                raise ValueError("two pieces share a hash")
-            self.keys[length] = np.array([h for h, _ in rows], np.uint64)
-            self.ids[length] = np.array([i for _, i in rows], np.int32)
-            # by a hash's first 18 bits: the place of the only key with them, -1 for none, -2 for several
-            slots, n_keys = np.unique((self.keys[length] >> np.uint64(46)).astype(np.int64), return_counts=True)
-            sieve = np.full(1 << 18, -1, np.int32)
-            sieve[slots] = np.where(n_keys == 1, np.cumsum(n_keys) - 1, -2)
-            self.sieve[length] = sieve
+                at = (h * int(self.mult) & 0xFFFFFFFFFFFFFFFF) >> 46
+                self.begins[k + 1][at] = True
+            while self.ids[at] >= 0:
+                if int(self.keys[at]) == h:
+                    raise ValueError("two pieces share a hash")
+                at = (at + 1) & 0x3FFFF
+            self.keys[at], self.ids[at] = h, i
+            self.lengths.add(len(text[i]))
         surface = [b""] * n
         for i, t in text.items():
             surface[i] = t.encode()
         for b, i in self.byte.items():
             surface[i] = bytes([b])
         self.surfaces = pa.array(surface, pa.large_binary())
+        #: characters of each piece; taken with clipping, so that the unknown ones (below 0) have 1
+        self.chars = np.array([len(text.get(i, "x")) for i in range(n)], np.int32)
+        self.marked = np.array([text.get(i, "").startswith(SPACE) for i in range(n)])
 
 
 def model(path: str, scale: float) -> Model:
@@ -121,81 +119,102 @@ def _spread(starts, counts):
 
 
 class Lattices:
-    """Word lattices of a group of texts, in one set of arrays; edges are in order of their end node."""
+    """Word lattices of a group of texts, in one set of arrays; edges are in order of their end node.
+
+    An edge's start is its end less its piece's characters; it is not stored.
+    """
 
     def __init__(self, m: Model, words: list[str]):
         import numpy as np
 
-        full = [SPACE + w for w in words]
-        self.lens = lens = np.fromiter(map(len, full), np.int64, len(full))
-        self.code = code = np.frombuffer("".join(full).encode("utf-32-le", "surrogatepass"), np.uint32)
+        full = SPACE + SPACE.join(words) if words else ""
+        self.code = code = np.frombuffer(full.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if full.count(SPACE) == len(words):
+            lens = np.diff(np.flatnonzero(code == ord(SPACE)), append=len(code))
+        else:
+            lens = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        self.lens = lens
         offs = np.cumsum(lens) - lens
-        word = np.repeat(np.arange(len(full)), lens)
-        at = np.arange(len(code)) - offs[word]
-        left = lens[word] - at
-        base = offs + np.arange(len(full))  # node of each word's start
+        word = np.repeat(np.arange(len(words), dtype=np.int32), lens)
+        left = np.repeat((offs + lens).astype(np.int32), lens) - np.arange(len(code), dtype=np.int32)
+        base = offs + np.arange(len(words))  # node of each word's start
         here = np.arange(len(code), dtype=np.int32)
         h = np.zeros(len(code), np.uint64)
+        unit = code.astype(np.uint64) + np.uint64(1)
         single = np.zeros(len(code), bool)
         start, length, piece = [], [], []
         for n in range(1, m.longest + 1):
-            keep = left[here] >= n
-            here, h = here[keep], h[keep]
+            if n > 1:
+                keep = np.flatnonzero(left[here] >= n)
+                here, h = here[keep], h[keep]
             if not len(here):
                 break
-            h = h * m.mult + (code[here + n - 1].astype(np.uint64) + np.uint64(1))
-            slot = (h >> np.uint64(46)).astype(np.int64)
-            keep = m.begins[n][slot]
+            h = h * m.mult + unit[here + np.int32(n - 1)]
+            slot = (h * m.mult >> np.uint64(46)).astype(np.int32)
+            keep = np.flatnonzero(m.begins[n][slot])
             here, h, slot = here[keep], h[keep], slot[keep]
-            if n not in m.keys:
+            if n not in m.lengths:
                 continue
-            k = m.sieve[n][slot]
-            maybe = np.flatnonzero(k != -1)
-            k = k[maybe]
-            several = np.flatnonzero(k == -2)
-            if len(several):
-                k[several] = np.minimum(np.searchsorted(m.keys[n], h[maybe[several]]), len(m.keys[n]) - 1)
-            ok = m.keys[n][k] == h[maybe]
-            hit = here[maybe[ok]]
-            if n == 1:
-                single[hit] = True
-            start.append(hit)
-            length.append(np.full(len(hit), n, np.int64))
-            piece.append(m.ids[n][k[ok]].astype(np.int64))
-        rest = np.flatnonzero(~single)  # a character that is no piece: its bytes, as one edge
+            open_ = None
+            while True:  # a hash's place or, while other hashes hold it, the next
+                own = m.keys[slot] == (h if open_ is None else h[open_])
+                hit = np.flatnonzero(own) if open_ is None else open_[own]
+                if len(hit):
+                    start.append(here[hit])
+                    length.append(n)
+                    piece.append(m.ids[slot[own]])
+                    if n == 1:
+                        single[here[hit]] = True
+                more = np.flatnonzero(~own & (m.ids[slot] >= 0))
+                if not len(more):
+                    break
+                open_ = more if open_ is None else open_[more]
+                slot = (slot[more] + 1) & 0x3FFFF
+        rest = np.flatnonzero(~single).astype(np.int32)  # a character that is no piece: its bytes, as one edge
         start.append(rest)
-        length.append(np.ones(len(rest), np.int64))
-        piece.append(-code[rest].astype(np.int64) - 1)
+        length.append(1)
+        piece.append(-code[rest].astype(np.int32) - 1)
         # the longest piece of a node first: the likeliest, so that a draw by running sums ends soon
-        start, length, piece = (np.concatenate(x[::-1]) for x in (start, length, piece))
-        tail = start + word[start]  # node id: one more node than characters in each word
-        head = tail + length
-        order = np.argsort(head, kind="stable")
-        self.tail, self.piece = tail[order].astype(np.int32), piece[order].astype(np.int32)
-        head = head[order]
-        logw = np.where(self.piece >= 0, m.logw[np.maximum(self.piece, 0)], m.unknown)
-        nodes = len(code) + len(full)
-        self.ptr = np.concatenate([[0], np.cumsum(np.bincount(head, minlength=nodes))])
+        length = np.repeat(np.array(length[::-1], np.int32), list(map(len, start[::-1])))
+        start, piece = (np.concatenate(x[::-1]) for x in (start, piece))
+        head = start + word[start] + length  # node id: one more node than characters in each word
+        nodes = len(code) + len(words)
+        # a counting sort by end node: each length has a node at most once, so its edges go to the next free places
+        degree = np.bincount(head, minlength=nodes)
+        self.ptr = np.concatenate([[0], np.cumsum(degree)])
+        free = self.ptr[:-1].astype(np.int32)
+        order = np.empty(len(head), np.int32)
+        cuts = np.flatnonzero(np.diff(length)) + 1
+        for a, b in pairwise([0, *cuts.tolist(), len(head)]):
+            to = free[head[a:b]]
+            order[to] = np.arange(a, b, dtype=np.int32)
+            free[head[a:b]] = to + np.int32(1)
+        self.piece, head, length = piece[order], head[order], length[order]
+        tail = head - length
+        logw = np.where(self.piece >= 0, m.logw.take(self.piece, mode="clip"), m.unknown)
         self.first, self.last = base, base + lens
         total = np.full(nodes, -np.inf)
         total[base] = 0.0
-        place = at[start[order]] + length[order]  # end place within the word
+        # nodes by their place in the word, each with its edges in a row: one step for all words
+        place = np.arange(nodes) - np.repeat(base, lens + 1)
         by = np.argsort(place.astype(np.int16) if lens.max(initial=0) < 32767 else place, kind="stable")
-        cuts = np.flatnonzero(np.diff(place[by])) + 1
-        for e in np.split(by, cuts) if len(by) else []:
-            ends = head[e]
-            seg = np.concatenate([[0], np.flatnonzero(np.diff(ends)) + 1])
-            total[ends[seg]] = np.logaddexp.reduceat(total[self.tail[e]] + logw[e], seg)
-        self.logp = total[self.tail] + logw - total[head]
+        for here in np.split(by, np.flatnonzero(np.diff(place[by])) + 1)[1:]:
+            n = degree[here]
+            e = _spread(self.ptr[here], n)
+            w = total[tail[e]] + logw[e]
+            begin = np.cumsum(n) - n
+            top = np.maximum.reduceat(w, begin)
+            total[here] = top + np.log(np.add.reduceat(np.exp(w - np.repeat(top, n)), begin))
+        self.logp = total[tail] + logw - total[head]
         # running sums over a node's edges, for draws of one edge without its siblings
-        self.upto = np.exp(self.logp)
-        degree = np.diff(self.ptr)
-        self.entropy = np.zeros(nodes)
-        own = degree > 0
-        self.entropy[own] = np.add.reduceat(-self.upto * self.logp, self.ptr[:-1][own]) if len(self.logp) else 0.0
+        upto = np.exp(self.logp)
+        at_last, n_last = self.ptr[self.last], degree[self.last]
+        e = _spread(at_last, n_last)
+        self.entropy = np.add.reduceat(-upto[e] * self.logp[e], np.cumsum(n_last) - n_last) if len(e) else np.zeros(0)
         for r in range(1, int(degree.max(initial=0))):
             at = self.ptr[:-1][degree > r] + r
-            self.upto[at] += self.upto[at - 1]
+            upto[at] += upto[at - 1]
+        self.upto = upto.astype(np.float32)
 
 
 class Store:
@@ -206,17 +225,18 @@ class Store:
     A word's lattice and its ids do not depend on what else is held.
     """
 
-    NODES, EDGES = ("ptr", "entropy"), ("tail", "piece", "logp", "upto")
+    EDGES = {"piece": "int32", "logp": "float64", "upto": "float32"}
+    WORDS = {"first": "int64", "last": "int64", "entropy": "float64", "best_at": "int64", "best_n": "int64", "uses": "int32"}
 
     def __init__(self, m: Model):
         import numpy as np
 
-        self.m, self.index = m, {}
+        self.m, self.chars, self.index = m, m.chars, {}
         self.n = {"word": 0, "node": 0, "edge": 0, "id": 0}
-        kinds = {"first": np.int64, "last": np.int64, "best_at": np.int64, "best_n": np.int64, "uses": np.int32}
-        for k, t in (kinds | {"ptr": np.int64, "entropy": np.float64, "tail": np.int32, "piece": np.int32, "logp": np.float64, "upto": np.float64, "best": np.int32}).items():
-            # pages of an empty array take no memory until they are written
-            setattr(self, k, np.empty(MAX_EDGES if k in self.EDGES else MAX_EDGES // 2 if k in self.NODES else 1024, t))
+        # pages of an empty array take no memory until they are written
+        rooms = dict.fromkeys(self.EDGES, MAX_EDGES) | dict.fromkeys(self.WORDS, 1024) | {"ptr": MAX_EDGES // 2, "best": 1024}
+        for k, t in (self.EDGES | self.WORDS | {"ptr": "int64", "best": "int32"}).items():
+            setattr(self, k, np.empty(rooms[k], t))
 
     def _put(self, name: str, at: int, values) -> None:
         import numpy as np
@@ -229,20 +249,18 @@ class Store:
             held = room
         held[at : at + len(values)] = values
 
-    def _append(self, words, first, last, ptr, entropy, tail, piece, logp, upto, best, sizes, uses) -> None:
+    def _append(self, words, first, last, ptr, entropy, piece, logp, upto, best, sizes, uses) -> None:
         """Words whose nodes, edges and ids are numbered from 0."""
         import numpy as np
 
         w, nodes, edges, n_ids = self.n.values()
-        if nodes + len(ptr) >= 1 << 31:
-            raise ValueError("too many characters in one group")
         for name, at, values in (
-            ("first", w, first + nodes), ("last", w, last + nodes), ("best_at", w, np.cumsum(sizes) - sizes + n_ids), ("best_n", w, sizes), ("uses", w, uses),
-            ("ptr", nodes, ptr + edges), ("entropy", nodes, entropy), ("tail", edges, tail + np.int32(nodes)), ("piece", edges, piece), ("logp", edges, logp), ("upto", edges, upto), ("best", n_ids, best),
+            ("first", w, first + nodes), ("last", w, last + nodes), ("entropy", w, entropy), ("best_at", w, np.cumsum(sizes) - sizes + n_ids), ("best_n", w, sizes), ("uses", w, uses),
+            ("ptr", nodes, ptr + edges), ("piece", edges, piece), ("logp", edges, logp), ("upto", edges, upto), ("best", n_ids, best),
         ):
             self._put(name, at, values)
         self.index.update(zip(words, range(w, w + len(words)), strict=True))
-        self.n = {"word": w + len(words), "node": nodes + len(ptr) - 1, "edge": edges + len(tail), "id": n_ids + len(best)}
+        self.n = {"word": w + len(words), "node": nodes + len(ptr) - 1, "edge": edges + len(piece), "id": n_ids + len(best)}
 
     def _shrink(self) -> None:
         import numpy as np
@@ -257,8 +275,7 @@ class Store:
         nodes, edges = _spread(first, size), _spread(self.ptr[first], cost)
         ids = _spread(self.best_at[order], self.best_n[order])
         ptr = np.concatenate([self.ptr[nodes] - np.repeat(self.ptr[first] - edge_at, size), [int(cost.sum())]])
-        tail = self.tail[edges] - np.repeat(first - node_at, cost)
-        kept = ([names[i] for i in order.tolist()], node_at, node_at + size - 1, ptr, self.entropy[nodes], tail.astype(np.int32), *(getattr(self, k)[edges] for k in ("piece", "logp", "upto")))
+        kept = ([names[i] for i in order.tolist()], node_at, node_at + size - 1, ptr, self.entropy[order], *(getattr(self, k)[edges] for k in self.EDGES))
         kept += (self.best[ids], self.best_n[order], self.uses[order] // 2)
         self.__init__(self.m)
         self._append(*kept)
@@ -278,10 +295,16 @@ class Store:
             best, sizes = best_ids(self.m, fresh)
             lat = Lattices(self.m, fresh)
             at[new] = np.arange(len(fresh)) + self.n["word"]
-            self._append(fresh, lat.first, lat.last, lat.ptr, lat.entropy, lat.tail, lat.piece, lat.logp, lat.upto, best, sizes, np.zeros(len(fresh), np.int32))
+            self._append(fresh, lat.first, lat.last, lat.ptr, lat.entropy, lat.piece, lat.logp, lat.upto, best, sizes, np.zeros(len(fresh), np.int32))
         self.uses[at] += 1
         return at
 
+    def head(self, edge):
+        """The end node of each edge."""
+        import numpy as np
+
+        return np.searchsorted(self.ptr[: self.n["node"] + 1], edge, side="right") - 1
+
 
 def store(m: Model) -> Store:
     if m not in _stores:
@@ -317,7 +340,10 @@ def gumbel(bits):
     return -np.log(-np.log(u))
 
 
-def walk(lat: Lattices, node, first, place, step, seed, near):
+GOLD = 0x9E3779B97F4A7C15
+
+
+def walk(lat: Store, node, first, place, step, seed, near):
     """Choose last pieces from each occurrence's node back to its word's start.
 
     Yields for each round occurrences, steps and chosen edges; and, for the occurrences that are ``near``,
@@ -326,46 +352,55 @@ def walk(lat: Lattices, node, first, place, step, seed, near):
     """
     import numpy as np
 
-    live = np.flatnonzero(node > first)
-    node = node[live].astype(np.int64)
-    step = step[live]
-    gold = np.uint64(0x9E3779B97F4A7C15)
-    own_seed = mix64(seed + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))  # steps of a word are unbounded, so places are mixed first
-    while len(live):
-        mark = mix64(own_seed[live] + step.astype(np.uint64) * gold)
-        close = near[live]
-        edge = lat.ptr[node]
-        far = np.flatnonzero(~close)
-        u = ((mark[far] >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
-        at, last = edge[far], lat.ptr[node[far] + 1] - 1
-        while len(far):
-            on = np.flatnonzero((u >= lat.upto[at]) & (at < last))
-            far, u, at, last = far[on], u[on], at[on] + 1, last[on]
-            edge[far] = at
-        mine = np.flatnonzero(close)
-        found = None
-        if len(mine):
-            lo, n = edge[mine], lat.ptr[node[mine] + 1] - edge[mine]
-            edges = _spread(lo, n)
-            own = np.repeat(np.arange(len(mine)), n)
-            begin = np.cumsum(n) - n
-            rank = np.arange(len(edges)) - begin[own]
-            a = lat.logp[edges] + gumbel(mix64(mark[mine][own] + rank.astype(np.uint64) * gold + np.uint64(1)))
-            top = np.maximum.reduceat(a, begin)
-            hits = np.flatnonzero(a == top[own])
-            if len(hits) > len(mine):
-                hits = hits[np.concatenate([[True], np.diff(own[hits]) > 0])]
-            edge[mine] = edges[hits]
-            others = np.ones(len(edges), bool)
-            others[hits] = False
-            others = np.flatnonzero(others)
-            o = mine[own[others]]
-            found = (live[o], step[o], edges[others], a[others], top[own[others]])
-        yield live, step, edge, found
-        node = lat.tail[edge].astype(np.int64)
-        step = step + 1
-        more = node > first[live]
-        live, node, step = live[more], node[more], step[more]
+    # steps of a word are unbounded, so places are mixed first
+    own_seed = mix64(seed + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) + step.astype(np.uint64) * np.uint64(GOLD)
+    todo = node > first
+    for live, draw in ((np.flatnonzero(todo & ~near), _draw_far), (np.flatnonzero(todo & near), _draw_near)):
+        at, own, begin, steps = node[live], own_seed[live], first[live], step[live]
+        while len(live):
+            edge, found = draw(lat, at, mix64(own))
+            yield live, steps, edge, found and (live[found[0]], steps[found[0]], *found[1:])
+            at = at - lat.chars.take(lat.piece[edge], mode="clip")
+            more = np.flatnonzero(at > begin)
+            live, at, begin, steps, own = live[more], at[more], begin[more], steps[more] + 1, own[more] + np.uint64(GOLD)
+
+
+def _draw_far(lat, node, mark):
+    import numpy as np
+
+    u = ((mark >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    edge = lat.ptr[node]
+    open_ = np.flatnonzero(u >= lat.upto[edge])
+    at, last, u = edge[open_], lat.ptr[node[open_] + 1] - 1, u[open_]
+    while True:
+        on = np.flatnonzero(at < last)
+        if not len(on):
+            return edge, None
+        open_, at, last, u = open_[on], at[on] + 1, last[on], u[on]
+        edge[open_] = at
+        on = np.flatnonzero(u >= lat.upto[at])
+        open_, at, last, u = open_[on], at[on], last[on], u[on]
+
+
+def _draw_near(lat, node, mark):
+    import numpy as np
+
+    begin = lat.ptr[node]
+    n = lat.ptr[node + 1] - begin
+    edges = _spread(begin, n)
+    own = np.repeat(np.arange(len(node)), n)
+    at = np.cumsum(n) - n
+    rank = np.arange(len(edges)) - at[own]
+    a = lat.logp[edges] + gumbel(mix64(mark[own] + rank.astype(np.uint64) * np.uint64(GOLD) + np.uint64(1)))
+    top = np.maximum.reduceat(a, at)
+    hits = np.flatnonzero(a == top[own])
+    if len(hits) > len(node):
+        hits = hits[np.concatenate([[True], np.diff(own[hits]) > 0])]
+    others = np.ones(len(edges), bool)
+    others[hits] = False
+    others = np.flatnonzero(others)
+    o = own[others]
+    return edges[hits], (o, edges[others], a[others], top[o])
 
 
 def _log1mexp(x):
@@ -386,16 +421,17 @@ def conditioned(value, phi, a, top):
 class Sampler:
     """k distinct segmentations for each text of a group."""
 
-    def __init__(self, lat: Lattices, occ, bounds, seeds, k: int):
+    def __init__(self, lat: Store, occ, bounds, seeds, k: int, near_nats: float = NEAR_NATS):
         import numpy as np
 
         self.lat, self.occ, self.bounds, self.seeds, self.k = lat, occ, bounds, seeds, k
         # Words of each text whose untaken choices are looked at first: as many as leave so little mass
         # open, going by the entropy of their last choice, that a later one can hardly matter.
-        run = np.concatenate([[0.0], np.cumsum(lat.entropy[lat.last[occ]])])
-        self.near = np.searchsorted(run, run[bounds[:-1]] + NEAR_NATS) - bounds[:-1] + 1
+        run = np.concatenate([[0.0], np.cumsum(lat.entropy[occ])])
+        self.near = np.searchsorted(run, run[bounds[:-1]] + near_nats) - bounds[:-1] + 1
 
     def run(self):
+        """For each draw: alive texts, and of all texts' choices, by occurrence from its end on, the number for each occurrence, edges and log-probabilities."""
         import numpy as np
 
         lat, occ, bounds = self.lat, self.occ, self.bounds
@@ -408,10 +444,10 @@ class Sampler:
         base = np.zeros(docs)  # log-probability of what a path has before its new part
         agenda: list[list] = [[] for _ in range(docs)]
         alive = np.ones(docs, bool)
-        paths: list[list] = [[] for _ in range(docs)]
-        old = None  # occurrence, step, edge, logp of each text's current path
+        paths: list[tuple] = []  # of each draw: choices of each occurrence, edges, log-probabilities, place of each occurrence's first choice
         fresh = np.ones(len(occ), bool)
-        kept = None
+        n_kept = np.zeros(docs, np.int64)
+        branch = bounds[:-1]  # the first occurrence with new choices
         for draw in range(self.k + 1):
             if draw:
                 # take the best agenda entry of each text; a text whose agenda is empty is done
@@ -422,43 +458,51 @@ class Sampler:
                 if draw == self.k:
                     break
                 alive = value > -np.inf
-                fresh = np.zeros(len(occ), bool)
-                node = first.copy()
+                d = np.flatnonzero(alive)
+                o, s, e, src = (np.array([best[i][j] for i in d.tolist()], np.int64) for j in range(1, 5))
+                # what a path keeps: its choices before the branch, and the other choice there
+                node = np.where(np.repeat(alive, np.diff(bounds)), lat.last[occ], first)
                 step = np.zeros(len(occ), np.int64)
-                keep_o, keep_s, keep_e, keep_l = [], [], [], []
-                for d, b in enumerate(best):
-                    if not b:
-                        continue
-                    _, o, s, e, src = b
-                    po, ps, pe, pl = paths[d][src]
-                    i, j = np.searchsorted(po, [o, o + 1])
-                    i += np.searchsorted(ps[i:j], s)
-                    keep_o += [po[:i], [o]]
-                    keep_s += [ps[:i], [s]]
-                    keep_e += [pe[:i], [e]]
-                    keep_l += [pl[:i], [lat.logp[e]]]
-                    base[d] = pl[:i].sum() + lat.logp[e]
-                    node[o], step[o] = lat.tail[e], s + 1
-                    fresh[o : bounds[d + 1]] = True
-                    later = slice(o + 1, bounds[d + 1])
-                    node[later] = lat.last[occ[later]]
-                kept = tuple(np.concatenate([np.asarray(x) for x in xs]) if xs else np.zeros(0) for xs in (keep_o, keep_s, keep_e, keep_l))
+                fresh = np.zeros(len(occ), bool)
+                fresh[_spread(o, bounds[d + 1] - o)] = True
+                node[~fresh] = first[~fresh]
+                node[o] = lat.head(e) - lat.chars.take(lat.piece[e], mode="clip")
+                step[o] = s + 1
+                n_kept = np.zeros(docs, np.int64)
+                branch = bounds[:-1].copy()
+                branch[d] = o
+                held = np.zeros(len(occ), np.int64)
+                held[o] = s + 1
+                kept = []
+                for n, (own, pe, pl, at) in enumerate(paths):
+                    mine = np.flatnonzero(src == n)
+                    dm, om = d[mine], o[mine]
+                    begin = at[bounds[dm]]
+                    count = at[om] + s[mine] - begin
+                    whole = _spread(bounds[dm], om - bounds[dm])
+                    held[whole] = own[whole]
+                    run = np.concatenate([[0.0], np.cumsum(pl)])
+                    base[dm] = run[begin + count] - run[begin] + lat.logp[e[mine]]
+                    n_kept[dm] = count + 1
+                    i = _spread(begin, count)
+                    kept.append((dm, count, pe[i], pl[i]))
             seed = mix64(self.seeds + np.uint64((draw + 1) * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF))[doc]
             start = np.where(fresh, node, first)
             near = self.near.copy()
-            o, s, e, rounds = self._draw(start, place, step, seed, place < near[doc])
+            got = list(walk(lat, start, first, place, step, seed, place < near[doc]))
             while True:
-                size = np.bincount(o, minlength=len(occ))
+                size = np.zeros(len(occ), np.int64)
+                for live, *_ in got:
+                    size[live] += 1
                 begin = np.cumsum(size) - size - step  # an occurrence's choices stand by step
-                order = np.empty(len(o), np.int64)
-                order[begin[o] + s] = np.arange(len(o))
-                o, s, e = o[order], s[order], e[order]
-                lp = lat.logp[e]
-                # log-probability before each choice, summed within its text
-                run = np.concatenate([[0.0], np.cumsum(lp)])
+                pe = np.empty(int(size.sum()), np.int64)
+                for live, steps, edge, _ in got:
+                    pe[begin[live] + steps] = edge
+                pl = lat.logp[pe]
                 text_at = np.concatenate([[0], np.cumsum(size)])[bounds]
-                phi = run[:-1] - np.repeat(run[text_at[:-1]] - base, np.diff(text_at))
-                again = self._siblings(rounds, begin, phi, doc, value, agenda, draw, near, size)
+                run = np.concatenate([[0.0], np.cumsum(pl)])
+                phi = lambda i, d, run=run, text_at=text_at: run[i] - run[text_at[d]] + base[d]  # noqa: E731  log-probability before a choice
+                again = self._siblings([x[3] for x in got if x[3]], begin, phi, doc, value, agenda, draw, near, size, branch)
                 if not len(again):
                     break
                 # the first words leave too much open: look at all words of these texts
@@ -466,29 +510,30 @@ class Sampler:
                 redo = np.zeros(docs, bool)
                 redo[again] = True
                 redo = redo[doc]
-                more = self._draw(np.where(redo, start, first), place, step, seed, redo)
-                keep = ~redo[o]
-                o, s, e = (np.concatenate([x[keep], y]) for x, y in zip((o, s, e), more[:3], strict=True))
-                rounds = [tuple(x[~redo[r[0]]] for x in r) for r in rounds] + more[3]
-            if kept is not None and len(kept[0]):
-                ko, ks, ke, kl = kept
-                o, s, e, lp = np.concatenate([ko, o]).astype(np.int64), np.concatenate([ks, s]).astype(np.int64), np.concatenate([ke, e]).astype(np.int64), np.concatenate([kl, lp])
-                order = np.argsort(o * (s.max() + 1) + s, kind="stable")
-                o, s, e, lp = o[order], s[order], e[order], lp[order]
-            edge_of = np.searchsorted(o, bounds)
-            for d in range(docs):
-                i, j = edge_of[d], edge_of[d + 1]
-                paths[d].append((o[i:j], s[i:j], e[i:j], lp[i:j]) if alive[d] else None)
-            yield alive.copy(), o, s, e, lp, value.copy()
-
-    def _draw(self, start, place, step, seed, near):
-        import numpy as np
-
-        got = list(walk(self.lat, start, self.lat.first[self.occ], place, step, seed, near))
-        o, s, e = (np.concatenate([x[i] for x in got]) if got else np.zeros(0, np.int64) for i in range(3))
-        return o, s, e, [x[3] for x in got if x[3]]
-
-    def _siblings(self, rounds, begin, phi, doc, value, agenda, draw, near, size):
+                got = [self._without(x, redo) for x in got] + list(walk(lat, np.where(redo, start, first), first, place, step, seed, redo))
+            if draw:
+                n_new = np.diff(text_at)
+                to = np.concatenate([[0], np.cumsum(n_kept + n_new)])
+                whole = np.empty(int(to[-1]), np.int64), np.empty(int(to[-1]))
+                for dm, count, ke, kl in kept:
+                    i = _spread(to[dm], count)
+                    whole[0][i], whole[1][i] = ke, kl
+                i = to[d] + n_kept[d] - 1
+                whole[0][i], whole[1][i] = e, lat.logp[e]
+                i = np.arange(len(pe)) + np.repeat(to[:-1] + n_kept - text_at[:-1], n_new)
+                whole[0][i], whole[1][i] = pe, pl
+                pe, pl = whole
+                size = size + held
+            paths.append((size, pe, pl, np.concatenate([[0], np.cumsum(size)])))
+            yield alive.copy(), size, pe, pl
+
+    @staticmethod
+    def _without(part, gone):
+        live, steps, edge, found = part
+        keep = ~gone[live]
+        return live[keep], steps[keep], edge[keep], found and tuple(x[~gone[found[0]]] for x in found)
+
+    def _siblings(self, rounds, begin, phi, doc, value, agenda, draw, near, size, branch):
         """Put each text's best k + 1 - draw siblings of the new path on its agenda.
 
         Returns the texts where a sibling beyond the first ``near`` words might be among them; then nothing
@@ -499,26 +544,26 @@ class Sampler:
 
         docs = len(agenda)
         so, ss, se, a, top = (np.concatenate(x) for x in zip(*rounds, strict=True)) if rounds else (np.zeros(0, np.int64),) * 5
-        before = phi[begin[so] + ss] if len(so) else a
         d = doc[so]
+        before = phi(begin[so] + ss, d) if len(so) else a
         part = before + a
         want = self.k - draw
-        # A sibling's value is at most part + log(2 / min(1, top - a)); those of a text's first choices give
-        # a floor for its best ones, and only siblings that can reach it are worked out.
-        floor = np.full(docs, -np.inf)
-        early = np.flatnonzero(so - self.bounds[d] < 12)
+        # A sibling's value is at most part + log(2 / min(1, top - a)); the agenda and the siblings of a text's
+        # first new choices give a floor for its best ones, and only siblings that can reach it are worked out.
+        floor = np.array([sorted((x[0] for x in q), reverse=True)[want - 1] if len(q) >= want else -np.inf for q in agenda])
+        early = np.flatnonzero(so - branch[d] < 12)
         if len(early):
             v = conditioned(value[d[early]], before[early], a[early], top[early])
             order = np.lexsort((-v, d[early]))
             de, ve = d[early][order], v[order]
             nth = np.searchsorted(de, np.arange(docs)) + want - 1
             ok = (nth < len(de)) & (de[np.minimum(nth, len(de) - 1)] == np.arange(docs))
-            floor[ok] = ve[nth[ok]]
+            floor[ok] = np.maximum(floor[ok], ve[nth[ok]])
         beyond = np.flatnonzero(np.diff(self.bounds) > near)
         if len(beyond):
             at = self.bounds[beyond] + near[beyond]
             seen = size[at] > 0
-            open_ = beyond[seen][phi[begin[at[seen]]] + 25.0 >= floor[beyond[seen]]]
+            open_ = beyond[seen][phi(begin[at[seen]], beyond[seen]) + 25.0 >= floor[beyond[seen]]]
             if len(open_):
                 return open_
         able = np.flatnonzero((part + 20.0 >= floor[d]) | (top - a < 1e-8))
@@ -535,38 +580,56 @@ class Sampler:
         return np.zeros(0, np.int64)
 
 
-def _ids(m: Model, o, s, pieces, n_occ: int):
-    """Ids in reading order and their number for each occurrence, from choices made end to start."""
+def _ids(m: Model, size, pieces, bounds):
+    """Ids in reading order and where each text's begin, from choices made end to start in each occurrence."""
     import numpy as np
 
-    size = np.bincount(o, minlength=n_occ)
     ends = np.cumsum(size)
-    out = np.empty(len(o), np.int64)
-    out[ends[o] - 1 - s] = pieces
-    if (out < 0).any():  # characters that are no pieces: their bytes
-        flat, counts = [], np.ones(len(out), np.int64)
-        prev = 0
-        for i in np.flatnonzero(out < 0).tolist():
-            own = [m.byte[b] for b in chr(-out[i] - 1).encode("utf-8", "surrogatepass")]
-            flat += [out[prev:i], np.array(own, np.int64)]
-            counts[i] = len(own)
-            prev = i + 1
-        flat.append(out[prev:])
-        owner = np.repeat(np.arange(n_occ), size)
-        return np.concatenate(flat), np.bincount(owner, weights=counts, minlength=n_occ).astype(np.int64)
-    return out, size
+    out = pieces[np.repeat(2 * ends - size - 1, size) - np.arange(len(pieces))]
+    at = np.concatenate([[0], ends])[bounds]
+    low = np.flatnonzero(out < 0)
+    if not len(low):
+        return out, at
+    # characters that are no pieces: their bytes
+    codes, which = np.unique(-out[low] - 1, return_inverse=True)
+    own = [[m.byte[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in codes.tolist()]
+    counts = np.ones(len(out), np.int64)
+    counts[low] = np.fromiter(map(len, own), np.int64, len(own))[which]
+    run = np.concatenate([[0], np.cumsum(counts)])
+    flat = np.repeat(out, counts)
+    for j in range(4):
+        has = np.array([len(x) > j for x in own])[which]
+        flat[run[low[has]] + j] = np.array([x[min(j, len(x) - 1)] for x in own])[which[has]]
+    return flat, run[at]
 
 
 def best_ids(m: Model, words: list[str]):
     """Deterministic ids of the words, flat, with their counts."""
     import numpy as np
 
-    lists = m.sp.encode([w.replace(SPACE, " ") for w in words], num_threads=1)
-    if "" in words:  # a space mark alone; the library gives an empty text none
-        lists[words.index("")] = [m.sp.piece_to_id(SPACE)]
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
-    return flat, sizes
+    sizes, flat = np.zeros(len(words), np.int64), []
+    odd = [i for i, w in enumerate(words) if not w or SPACE in w]
+    plain = words
+    if odd:  # a mark of the text itself, or a space mark alone; the library gives an empty text none
+        lists = [m.sp.encode(words[i].replace(SPACE, " ")) or [m.sp.piece_to_id(SPACE)] for i in odd]
+        sizes[odd] = list(map(len, lists))
+        flat = [np.array(x, np.int64) for x in lists]
+        gone = set(odd)
+        plain = [w for i, w in enumerate(words) if i not in gone]
+    # no piece goes across a blank: some words at a time, told apart by the mark that begins each
+    parts = m.sp.encode_as_numpy([" ".join(plain[i : i + 16]) for i in range(0, len(plain), 16)], num_threads=1)
+    ids = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+    own = np.diff(np.flatnonzero(m.marked[ids]), append=len(ids))
+    if not odd:
+        return ids, own
+    rest = np.ones(len(words), bool)
+    rest[odd] = False
+    sizes[rest] = own
+    at = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), np.int64)
+    out[_spread(at[rest], own)] = ids
+    out[_spread(at[odd], sizes[odd])] = np.concatenate(flat)
+    return out, sizes
 
 
 def give_back() -> None:
@@ -581,13 +644,13 @@ def give_back() -> None:
 
 
 def digest(ids, bounds):
-    """An order-dependent 64-bit digest of each range of ids."""
+    """XXH64 of each range of ids, as 32-bit little-endian integers, signed."""
     import numpy as np
+    import xxhash
 
-    at = np.arange(len(ids)) - np.repeat(bounds[:-1], np.diff(bounds))
-    term = mix64((ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64))
-    run = np.concatenate([[np.uint64(0)], np.cumsum(term, dtype=np.uint64)])
-    return (run[bounds[1:]] - run[bounds[:-1]]).view(np.int64)
+    data = memoryview(ids.astype("<i4")).cast("B")
+    h64 = xxhash.xxh64_intdigest
+    return np.array([h64(data[4 * a : 4 * b]) for a, b in pairwise(bounds.tolist())], np.uint64).view(np.int64)
 
 
 def decoded(m: Model, ids, bounds) -> list[str]:
@@ -604,7 +667,20 @@ def decoded(m: Model, ids, bounds) -> list[str]:
     return [t[1:] if t[:1] == " " else t for t in texts]
 
 
-def encode_group(m: Model, texts: list[str], seeds, k: int):
+def spells(m: Model, ids, bounds, texts: list[str], wanted: bytes, ends) -> list[bool]:
+    """Whether each range of ids decodes to its text; wanted are the texts as pieces spell them, ends where each ends."""
+    import numpy as np
+    import pyarrow as pa
+
+    joined = m.surfaces.take(pa.array(ids, pa.int32()))
+    at, data = joined.buffers()[1:] if len(ids) else (None, None)
+    at = np.frombuffer(at, np.int64)[joined.offset : joined.offset + len(ids) + 1][bounds] if len(ids) else np.zeros(len(bounds), np.int64)
+    if np.array_equal(at, ends) and (not len(ids) or data.slice(0, int(ends[-1])).equals(pa.py_buffer(wanted))):
+        return [SPACE not in t for t in texts]  # a mark of the text itself comes back as a blank
+    return [a == b for a, b in zip(decoded(m, ids, bounds), texts, strict=True)]
+
+
+def encode_group(m: Model, texts: list[str], seeds, k: int, near_nats: float = NEAR_NATS):
     """For each text: best ids, round trip, and k samples as ``(alive, ids, bounds, log p, log inclusion)``.
 
     The best ids and those of every sample are decoded; the round trip holds if all give the text.
@@ -617,26 +693,27 @@ def encode_group(m: Model, texts: list[str], seeds, k: int):
     n = held.best_n[occ]
     ids = held.best[_spread(held.best_at[occ], n)]
     cut = np.concatenate([[0], np.cumsum(n)])[bounds]
-    drawn = _sample(m, held, occ, bounds, seeds, k) if k and len(occ) else []
-    same = np.array([a == b for a, b in zip(decoded(m, ids, cut), texts, strict=True)], bool)
+    drawn = _sample(m, held, occ, bounds, seeds, k, near_nats) if k and len(occ) else []
+    spelt = [(SPACE + t.replace(" ", SPACE)).encode() if t else b"" for t in texts]
+    wanted, ends = b"".join(spelt), np.cumsum([0, *map(len, spelt)])
+    same = np.array(spells(m, ids, cut, texts, wanted, ends), bool)
     for alive, got, at, _, _ in drawn:
-        same &= np.array([a == b for a, b in zip(decoded(m, got, at), texts, strict=True)], bool) | ~alive
+        same &= np.array(spells(m, got, at, texts, wanted, ends), bool) | ~alive
     return (ids, cut, same), drawn
 
 
-def _sample(m, lat, occ, bounds, seeds, k):
+def _sample(m, lat: Store, occ, bounds, seeds, k, near_nats=NEAR_NATS):
     import numpy as np
 
     if not len(occ):
         none = np.zeros(len(seeds))
         return [(np.zeros(len(seeds), bool), np.zeros(0, np.int64), np.zeros(len(bounds), np.int64), none, none)] * k
-    sampler = Sampler(lat, occ, bounds, seeds, k)
+    sampler = Sampler(lat, occ, bounds, seeds, k, near_nats)
     drawn = []
-    for alive, o, s, e, lp, _ in sampler.run():
-        got, size = _ids(m, o, s, lat.piece[e], len(occ))
-        cut = np.concatenate([[0], np.cumsum(size)])[bounds]
-        total = np.bincount(np.repeat(np.arange(len(seeds)), np.diff(np.searchsorted(o, bounds))), weights=lp, minlength=len(seeds))
-        drawn.append((alive & (np.diff(bounds) > 0), got, cut, total))
+    for alive, size, e, lp in sampler.run():
+        got, cut = _ids(m, size, lat.piece[e], bounds)
+        at = np.concatenate([[0], np.cumsum(size)])[bounds]
+        drawn.append((alive & (np.diff(bounds) > 0), got, cut, np.diff(np.concatenate([[0.0], np.cumsum(lp)])[at])))
     kappa = sampler.kappa
     out = []
     for alive, got, cut, total in drawn:
@@ -647,13 +724,18 @@ def _sample(m, lat, occ, bounds, seeds, k):
     return out
 
 
-def encode(docs: DataFrame, samples: int = SAMPLES, ids: bool = True, path: str | None = None, scale: float = SCALE, id_col: str = "doc_id", text_col: str = "text", group_chars: int = GROUP_CHARS) -> DataFrame:
+def encode(docs: DataFrame, samples: int = SAMPLES, ids: bool = True, path: str | None = None, scale: float = SCALE, id_col: str = "doc_id", text_col: str = "text", group_chars: int = GROUP_CHARS, near_nats: float = NEAR_NATS) -> DataFrame:
     """``doc_id, n_tokens, digest, round_trip, samples`` and, with ids, ``ids``: a row for each row of docs.
 
     samples is an array of ``n_tokens, digest, log_p, log_inclusion`` (and ``ids``) in order of the draw; a
     text with fewer segmentations has fewer, and then each inclusion score is 0 (certain). Null and empty
     texts have no ids, round_trip true and no samples. The best ids and all samples are decoded; round_trip is
-    false where one gives another text: texts that hold the space mark itself. Rows with equal ids draw alike; null ids share a seed.
+    false where one gives another text: texts that hold the space mark itself. Rows with equal ids draw alike, so
+    repeated rows give equal rows; null ids share a seed. Words may have any number of pieces. Columns besides
+    the id and the text are not read; an empty table gives none.
+
+    Choices in words beyond the first ``near_nats`` of entropy become branches only if the text's branches so far
+    leave them a chance over e^-25 to matter; with ``math.inf`` every choice of every word does.
     """
     path = path or model_path()
     if samples and samples >= 4096:
@@ -669,7 +751,7 @@ def encode(docs: DataFrame, samples: int = SAMPLES, ids: bool = True, path: str
 
         def group(doc_ids, texts):
             key = np.array([d if d is not None else -(1 << 62) for d in doc_ids], np.int64).view(np.uint64)
-            (flat, cut, same), drawn = encode_group(m, texts, mix64(key + np.uint64(0x2545F4914F6CDD1D)), samples)
+            (flat, cut, same), drawn = encode_group(m, texts, mix64(key + np.uint64(0x2545F4914F6CDD1D)), samples, near_nats)
             lists = lambda x, b: pa.ListArray.from_arrays(pa.array(b, pa.int32()), pa.array(x, pa.int32()))
             n = len(texts)
             fields = {"n_tokens": [], "digest": [], "log_p": [], "log_inclusion": []}
@@ -718,7 +800,7 @@ def encode(docs: DataFrame, samples: int = SAMPLES, ids: bool = True, path: str
 
 
 def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``doc_id, text`` from ids. Null ids give null; an id outside the vocabulary raises an error."""
+    """``doc_id, text`` from ids, a row for each row. Null ids give null; an id outside the vocabulary raises an error."""
     path = path or model_path()
 
     def run(batches):
