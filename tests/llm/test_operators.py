@@ -499,7 +499,7 @@ def test_pieces(request, which):
         assert all(m.sp.decode(list(s.ids)) == t and s.n_tokens == len(s.ids) for s in r.samples)
         assert len({tuple(s.ids) for s in r.samples}) == len(r.samples) and all(s.log_inclusion <= 0 for s in r.samples)
     assert all(texts[r.doc_id] == {r.text or ""} for r in pieces.decode(enc).collect())
-    again = {(r.doc_id, r.n_tokens, r.digest, str(r.samples)) for r in pieces.encode(df.repartition(3), samples=3, group_chars=500).collect()}
+    again = {(r.doc_id, r.n_tokens, r.digest, str(r.samples)) for r in pieces.encode(df.repartition(3), samples=3, group_chars=500, max_edges=5000).collect()}
     assert {(r.doc_id, r.n_tokens, r.digest) for r in enc.collect()} == {x[:3] for x in again}
     assert {(r.doc_id, tuple(s.digest for s in r.samples)) for r in enc.collect()} == {(r.doc_id, tuple(s.digest for s in r.samples)) for r in pieces.encode(df.repartition(3), samples=3, group_chars=500).collect()}
 
@@ -559,6 +559,26 @@ def test_pipeline(spark, real):
     assert c.run(spark, SF).count() == last.count()
 
 
+def test_pipeline_stages_on_odd_rows(spark, docs):
+    import corpus_pipeline as c
+
+    long_ = " ".join(f"word{i} of a longer text" for i in range(40))
+    extra = spark.createDataFrame([(20, long_, "en", "s1", 1, *["mine"] * len(ODD)), (20, long_, "en", "s1", 1, *["mine"] * len(ODD)), (None, long_ + " and more", "en", None, 1, *["mine"] * len(ODD))], docs.schema)
+    odd = docs.unionByName(extra)
+    for name, stage in c.STAGES:
+        got = stage(spark, odd, SF)
+        assert stage(spark, odd.limit(0), SF).count() == 0
+        if name == "token ids":
+            assert got.count() == odd.count()
+            continue
+        assert got.columns == odd.columns
+        rows_ = got.collect()
+        if name in ("quality rules", "mix sources", "near-duplicates"):
+            assert {tuple(r) for r in rows_} <= {tuple(r) for r in odd.collect()}
+        else:
+            assert len(rows_) == odd.count() and {r.own for r in rows_} == {"odd", "mine"}
+
+
 def test_pieces_held_lattices_do_not_matter(monkeypatch):
     import numpy as np
 

@@ -220,21 +220,21 @@ class Lattices:
 class Store:
     """Lattices and best ids of words met so far, side by side in arrays with room to grow.
 
-    A worker keeps one across groups and tasks. Past MAX_EDGES it keeps only the words that several groups
-    had, under half of that; so it is bounded by MAX_EDGES and the words of one group, whatever the input.
+    A worker keeps one across groups and tasks. Past ``max_edges`` it keeps only the words that several groups
+    had, under half of that; so it is bounded by them and the words of one group, whatever the input.
     A word's lattice and its ids do not depend on what else is held.
     """
 
     EDGES = {"piece": "int32", "logp": "float64", "upto": "float32"}
     WORDS = {"first": "int64", "last": "int64", "entropy": "float64", "best_at": "int64", "best_n": "int64", "uses": "int32"}
 
-    def __init__(self, m: Model):
+    def __init__(self, m: Model, max_edges: int):
         import numpy as np
 
-        self.m, self.chars, self.index = m, m.chars, {}
+        self.m, self.chars, self.index, self.max_edges = m, m.chars, {}, max_edges
         self.n = {"word": 0, "node": 0, "edge": 0, "id": 0}
         # pages of an empty array take no memory until they are written
-        rooms = dict.fromkeys(self.EDGES, MAX_EDGES) | dict.fromkeys(self.WORDS, 1024) | {"ptr": MAX_EDGES // 2, "best": 1024}
+        rooms = dict.fromkeys(self.EDGES, max_edges) | dict.fromkeys(self.WORDS, 1024) | {"ptr": max_edges // 2, "best": 1024}
         for k, t in (self.EDGES | self.WORDS | {"ptr": "int64", "best": "int32"}).items():
             setattr(self, k, np.empty(rooms[k], t))
 
@@ -268,7 +268,7 @@ class Store:
         n = self.n["word"]
         cost = self.ptr[self.last[:n] + 1] - self.ptr[self.first[:n]]
         order = np.argsort(-self.uses[:n], kind="stable")
-        order = order[(self.uses[order] > 1) & (np.cumsum(cost[order]) <= MAX_EDGES // 2)]
+        order = order[(self.uses[order] > 1) & (np.cumsum(cost[order]) <= self.max_edges // 2)]
         names = list(self.index)  # in order of their numbers
         first, size, cost = self.first[order], (self.last - self.first)[order] + 1, cost[order]
         node_at, edge_at = np.cumsum(size) - size, np.cumsum(cost) - cost
@@ -277,7 +277,7 @@ class Store:
         ptr = np.concatenate([self.ptr[nodes] - np.repeat(self.ptr[first] - edge_at, size), [int(cost.sum())]])
         kept = ([names[i] for i in order.tolist()], node_at, node_at + size - 1, ptr, self.entropy[order], *(getattr(self, k)[edges] for k in self.EDGES))
         kept += (self.best[ids], self.best_n[order], self.uses[order] // 2)
-        self.__init__(self.m)
+        self.__init__(self.m, self.max_edges)
         self._append(*kept)
 
     def numbers(self, words: list[str]):
@@ -286,7 +286,7 @@ class Store:
 
         find = lambda: np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         at = find()
-        if self.n["edge"] > MAX_EDGES and (at < 0).any():
+        if self.n["edge"] > self.max_edges and (at < 0).any():
             self._shrink()
             at = find()
         new = np.flatnonzero(at < 0)
@@ -306,10 +306,12 @@ class Store:
         return np.searchsorted(self.ptr[: self.n["node"] + 1], edge, side="right") - 1
 
 
-def store(m: Model) -> Store:
-    if m not in _stores:
-        _stores[m] = Store(m)
-    return _stores[m]
+def store(m: Model, max_edges: int | None = None) -> Store:
+    size = max_edges or MAX_EDGES
+    if (m, size) not in _stores:
+        _stores.clear()  # a worker has room for one
+        _stores[m, size] = Store(m, size)
+    return _stores[m, size]
 
 
 def split_words(texts: list[str]):
@@ -680,7 +682,7 @@ def spells(m: Model, ids, bounds, texts: list[str], wanted: bytes, ends) -> list
     return [a == b for a, b in zip(decoded(m, ids, bounds), texts, strict=True)]
 
 
-def encode_group(m: Model, texts: list[str], seeds, k: int, near_nats: float = NEAR_NATS):
+def encode_group(m: Model, texts: list[str], seeds, k: int, near_nats: float = NEAR_NATS, max_edges: int | None = None):
     """For each text: best ids, round trip, and k samples as ``(alive, ids, bounds, log p, log inclusion)``.
 
     The best ids and those of every sample are decoded; the round trip holds if all give the text.
@@ -688,7 +690,7 @@ def encode_group(m: Model, texts: list[str], seeds, k: int, near_nats: float = N
     import numpy as np
 
     words, occ, bounds = split_words(texts)
-    held = store(m)
+    held = store(m, max_edges)
     occ = held.numbers(words)[occ] if words else np.zeros(0, np.int64)
     n = held.best_n[occ]
     ids = held.best[_spread(held.best_at[occ], n)]
@@ -724,7 +726,7 @@ def _sample(m, lat: Store, occ, bounds, seeds, k, near_nats=NEAR_NATS):
     return out
 
 
-def encode(docs: DataFrame, samples: int = SAMPLES, ids: bool = True, path: str | None = None, scale: float = SCALE, id_col: str = "doc_id", text_col: str = "text", group_chars: int = GROUP_CHARS, near_nats: float = NEAR_NATS) -> DataFrame:
+def encode(docs: DataFrame, samples: int = SAMPLES, ids: bool = True, path: str | None = None, scale: float = SCALE, id_col: str = "doc_id", text_col: str = "text", group_chars: int = GROUP_CHARS, max_edges: int = MAX_EDGES, near_nats: float = NEAR_NATS) -> DataFrame:
     """``doc_id, n_tokens, digest, round_trip, samples`` and, with ids, ``ids``: a row for each row of docs.
 
     samples is an array of ``n_tokens, digest, log_p, log_inclusion`` (and ``ids``) in order of the draw; a
@@ -734,6 +736,9 @@ def encode(docs: DataFrame, samples: int = SAMPLES, ids: bool = True, path: str
     repeated rows give equal rows; null ids share a seed. Words may have any number of pieces. Columns besides
     the id and the text are not read; an empty table gives none.
 
+    ``group_chars``, the characters worked on together, and ``max_edges``, the edges of the lattices that a worker
+    keeps, set its memory (some 0.8 GB by default) against time; results do not depend on them.
+
     Choices in words beyond the first ``near_nats`` of entropy become branches only if the text's branches so far
     leave them a chance over e^-25 to matter; with ``math.inf`` every choice of every word does.
     """
@@ -751,7 +756,7 @@ def encode(docs: DataFrame, samples: int = SAMPLES, ids: bool = True, path: str
 
         def group(doc_ids, texts):
             key = np.array([d if d is not None else -(1 << 62) for d in doc_ids], np.int64).view(np.uint64)
-            (flat, cut, same), drawn = encode_group(m, texts, mix64(key + np.uint64(0x2545F4914F6CDD1D)), samples, near_nats)
+            (flat, cut, same), drawn = encode_group(m, texts, mix64(key + np.uint64(0x2545F4914F6CDD1D)), samples, near_nats, max_edges)
             lists = lambda x, b: pa.ListArray.from_arrays(pa.array(b, pa.int32()), pa.array(x, pa.int32()))
             n = len(texts)
             fields = {"n_tokens": [], "digest": [], "log_p": [], "log_inclusion": []}
