@@ -1,6 +1,7 @@
 """Corpus pipeline: quality rules, near-duplicates, secrets, mixing, token ids.
 
-Each stage works on all its predecessor kept and returns the columns of documents; the last returns ids.
+Each stage works on all its predecessor kept and returns the columns of documents, whatever further ones they
+have; the last returns ids. An empty table passes through.
 """
 
 from __future__ import annotations
@@ -10,28 +11,37 @@ from tidelog.llm.common import table
 
 
 def quality_rules(spark, docs, sf_dir):
-    """Documents that the base rules or the learned list reject go."""
+    """Documents that the base rules or the learned list reject go; null, empty and very short texts are among them.
+
+    Repeated rows are judged alike; ids may be null. Without labels the base rules decide alone.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each group of near copies stays, the one with the smallest id."""
+    """One row of each group of near copies stays, the one with the smallest id, nulls last.
+
+    Of rows that share that id the one with the smallest fingerprint and text stays.
+    """
     return simhash.dedup(docs)
 
 
 def secret_scan(spark, docs, sf_dir):
-    """Secrets in the texts are masked; every document stays."""
+    """Secrets in the texts are masked; every row stays, null and empty texts as they are."""
     return secrets.redact(docs)
 
 
 def mix_sources(spark, docs, sf_dir):
-    """Each document as often as the mix takes it."""
+    """Each row as often as the mix takes it; rows without words are not taken, a null source is a source."""
     return mixing.mixed_documents(docs)
 
 
 def token_ids(spark, docs, sf_dir):
-    """Ids of each text, with sampled segmentations."""
-    return pieces.encode(docs)
+    """Ids of each text, with sampled segmentations; a row for each row, null and empty texts have none.
+
+    The workers keep less than by default, as they stay beside the executors' other stages.
+    """
+    return pieces.encode(docs, group_chars=400_000, max_edges=3_000_000)
 
 
 STAGES = [
