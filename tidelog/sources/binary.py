@@ -7,8 +7,6 @@ write whole files and whose commit moves them into place.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -48,13 +46,12 @@ def decode_files(rows: DataFrame, mode: str = "FAILFAST") -> DataFrame:
                 out, at = [], codec.SEGMENT_HEADER
                 try:
                     codec.decode_segment_header(data)
-                    while at < len(data):
-                        e, after = codec.decode_entry(data, at)
+                    for at, e, after in codec.decode_entries(data, codec.SEGMENT_HEADER):  # noqa: B007
                         if e["compression"]:
                             e["payload"] = codec.gunzip_bytes(e["payload"])
                         out.append((base, at, e["msg_id"], e["ts"], e["payload"], e["priority"], e["expires_at"], e["headers"], e["compression"], e["entry_type"], None))
-                        at = after
                 except ValueError as error:
+                    at = getattr(error, "at", at)
                     if mode == "FAILFAST":
                         raise ValueError(f"segment {base}, offset {at}: {error}") from error
                     out.append((base, at, *[None] * 8, str(error)))
@@ -99,26 +96,30 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def encode_segments(log: DataFrame, interval: int = 4096) -> DataFrame:
-    """``name, content``: a log file and an index file for each segment (a column ``base``) of the log."""
+    """``name, content``: a log file and an index file for each segment (a column ``base``) of the log.
 
-    def run(pdf):
-        import pandas as pd
+    A file is one value, so a task holds one segment, which rotation bounds.
+    """
+
+    def run(key, table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-        pdf = pdf.sort_values("msg_id")
-        base = int(pdf["base"].iloc[0])
-        body, index, at, last = [], [], codec.SEGMENT_HEADER, None
-        for r in pdf.itertuples(index=False):
-            none = lambda x: None if x is None or pd.isna(x) else int(x)
-            data = codec.encode_entry(int(r.msg_id), int(r.ts), bytes(r.payload), int(r.priority), none(r.expires_at), dict(r.headers) if r.headers else None)
+        table = table.take(pc.sort_indices(table, [("msg_id", "ascending")]))
+        (base,) = (k.as_py() for k in key)
+        cols = [table.column(c).to_pylist() for c in ("msg_id", "ts", "payload", "priority", "expires_at", "headers")]
+        body = codec.encode_entries((i, t, p, r, e, dict(h) if h else None, 0, 1) for i, t, p, r, e, h in zip(*cols, strict=True))
+        index, at, last = [], codec.SEGMENT_HEADER, None
+        for i, t, data in zip(cols[0], cols[1], body, strict=True):
             if last is None or at - last >= interval:
-                index.append((int(r.msg_id), at, int(r.ts)))
+                index.append((i, at, t))
                 last = at
-            body.append(data)
             at += len(data)
-        head = codec.encode_segment_header(base, int(pdf["ts"].iloc[0]), int(pdf["msg_id"].min()), int(pdf["msg_id"].max()))
-        return pd.DataFrame([(f"{base:020d}.log", head + b"".join(body)), (f"{base:020d}.idx", codec.encode_index(base, index))], columns=["name", "content"])
+        head = codec.encode_segment_header(base, cols[1][0], cols[0][0], cols[0][-1])
+        names, files_ = [f"{base:020d}.log", f"{base:020d}.idx"], [head + b"".join(body), codec.encode_index(base, index)]
+        return pa.table({"name": pa.array(names, pa.string()), "content": pa.array(files_, pa.binary())})
 
-    return log.select("base", "msg_id", "ts", "payload", "priority", "expires_at", "headers").groupBy("base").applyInPandas(run, "name string, content binary")
+    return log.select("base", "msg_id", "ts", "payload", "priority", "expires_at", "headers").groupBy("base").applyInArrow(run, "name string, content binary")
 
 
 class SegmentSink(DataSource):
@@ -141,28 +142,39 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
+    """Writes through the file system that the path's scheme names, on executors and driver alike."""
+
     def __init__(self, path):
-        self.path = path.removeprefix("file://").removeprefix("file:")
+        self.path = path
+
+    def _store(self):
+        from pyarrow import fs
+
+        if "://" in self.path or self.path.startswith("file:"):
+            return fs.FileSystem.from_uri(self.path.replace("file:/", "file:///", 1) if self.path.startswith("file:/") and not self.path.startswith("file://") else self.path)
+        return fs.LocalFileSystem(), self.path
 
     def write(self, rows):
-        os.makedirs(self.path, exist_ok=True)
+        store, at = self._store()
+        store.create_dir(at, recursive=True)
         names = []
         for r in rows:
-            with open(f"{self.path}/{r.name}.part", "wb") as f:
+            with store.open_output_stream(f"{at}/{r.name}.part") as f:
                 f.write(r.content)
             names.append(r.name)
         return _Written(names)
 
     def commit(self, messages):
+        store, at = self._store()
         for m in messages:
             for n in m.names if m else ():
-                os.replace(f"{self.path}/{n}.part", f"{self.path}/{n}")
+                store.move(f"{at}/{n}.part", f"{at}/{n}")
 
     def abort(self, messages):
+        store, at = self._store()
         for m in messages:
             for n in m.names if m else ():
-                if os.path.exists(f"{self.path}/{n}.part"):
-                    os.remove(f"{self.path}/{n}.part")
+                store.delete_file(f"{at}/{n}.part")
 
 
 __all__ = ["SegmentSink", "encode_segments", "files", "read_entries", "read_headers", "read_index", "segment_name"]
