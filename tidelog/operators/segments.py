@@ -10,6 +10,8 @@ from ..options import Retention
 
 HEADER = 64
 INTERVAL = 4096
+#: Bounds that are put in a plan as they are.
+MAX_LITERALS = 5000
 
 
 def by_count(log: DataFrame, most: int) -> DataFrame:
@@ -66,15 +68,35 @@ def boundaries(log: DataFrame, max_bytes: int = 0, max_messages: int = 0, max_ti
 
 
 def assign(log: DataFrame, bounds: DataFrame) -> DataFrame:
-    """log with the ``segment`` each id falls in. The bounds (one row for each segment) are a broadcast array searched in place."""
-    b = bounds.orderBy("first_id").collect()  # a row for each segment of max_bytes, not for each message
+    """log with the ``segment`` each id falls in; ids before the first bound have none.
+
+    Up to MAX_LITERALS bounds, a row for each segment, are an array in the plan that is searched in place.
+    Beyond, bounds and ids are dealt by spans of ids as long as a segment on average, and meet there.
+    """
+    b = bounds.orderBy("first_id").limit(MAX_LITERALS + 1).collect()
     if not b:
         return log.withColumn("segment", F.lit(None).cast("long"))
+    if len(b) > MAX_LITERALS:
+        return _assign_by_spans(log, bounds)
     starts, names = (F.lit([r[c] for r in b]).cast("array<long>") for c in ("first_id", "segment"))
     # binary search for the last start at or before the id
-    powers = F.lit([1 << k for k in range(max(1, len(b).bit_length()) - 1, -1, -1)])
-    lo = F.aggregate(powers, F.lit(0), lambda acc, k: F.when(F.get(starts, acc + k) <= F.col("msg_id"), acc + k).otherwise(acc))
-    return log.withColumn("segment", F.get(names, lo))
+    powers = F.lit([1 << k for k in range(len(b).bit_length() - 1, -1, -1)])
+    lo = F.aggregate(powers, F.lit(0), lambda acc, k: F.when(F.get(starts, acc + k - 1) <= F.col("msg_id"), acc + k).otherwise(acc))
+    return log.withColumn("segment", F.when(lo > 0, F.get(names, lo - 1)))
+
+
+def _assign_by_spans(log: DataFrame, bounds: DataFrame) -> DataFrame:
+    facts = bounds.agg(F.count(F.lit(1)).alias("n"), F.min("first_id").alias("a"), F.max("first_id").alias("z")).first()
+    top = max(facts["z"], log.agg(F.max("msg_id")).first()[0] or 0) + 1
+    span = max(1, (top - facts["a"]) // facts["n"])
+    # one row for each segment: a window over all of them is small beside the log
+    until = F.lead("first_id").over(Window.orderBy("first_id"))
+    b = bounds.select("segment", "first_id", F.coalesce(until, F.lit(top)).alias("__to"))
+    own = F.explode(F.sequence(F.floor(F.col("first_id") / span), F.floor((F.col("__to") - 1) / span))).alias("__span")
+    b = b.where("__to > first_id").select(F.col("segment").alias("__segment"), F.col("first_id").alias("__from"), "__to", own)
+    rows = log.drop("segment").withColumn("__span", F.floor(F.col("msg_id") / span))
+    met = rows.join(b, (rows["__span"] == b["__span"]) & (F.col("msg_id") >= F.col("__from")) & (F.col("msg_id") < F.col("__to")), "left")
+    return met.select(*[rows[c] for c in rows.columns if c != "__span"], F.col("__segment").alias("segment"))
 
 
 def offsets(log: DataFrame) -> DataFrame:
@@ -83,6 +105,16 @@ def offsets(log: DataFrame) -> DataFrame:
     return log.withColumn("offset", F.lit(HEADER) + F.sum("bytes").over(w) - F.col("bytes"))
 
 
+def at(log: DataFrame, segment: int, offset: int) -> DataFrame:
+    """The entry at an offset of a segment, if one begins there, with ``next_offset``; log has ``segment`` and ``offset``."""
+    return log.where((F.col("segment") == segment) & (F.col("offset") == offset)).withColumn("next_offset", F.col("offset") + F.col("bytes"))
+
+
+def onward(log: DataFrame, segment: int, offset: int = HEADER) -> DataFrame:
+    """The entries of a segment from an offset on, in order."""
+    return log.where((F.col("segment") == segment) & (F.col("offset") >= offset)).orderBy("offset")
+
+
 def summary(log: DataFrame, most: int, first_base: int = 1) -> DataFrame:
     """A row for each segment: ``base, name, min_id, max_id, messages, bytes, modified, is_active``."""
     seg = log.groupBy("segment").agg(F.min("msg_id").alias("min_id"), F.max("msg_id").alias("max_id"), F.count(F.lit(1)).alias("messages"), F.sum("bytes").alias("bytes"), F.max("ts").alias("modified"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..errors import InvalidMessage, NoMessages, NotFound
 from ..functions import expr
 
@@ -24,10 +25,11 @@ def expired_messages(log: DataFrame, now: int) -> DataFrame:
     return log.where(expr.expired(now))
 
 
-def batch_candidates(log: DataFrame, read: int, next_id: int, n: int, now: int) -> DataFrame:
+def batch_candidates(log: DataFrame, read: int, next_id: int, n: int, now: int, consumed: DataFrame | None = None) -> DataFrame:
     """The rows a batch read of n checks, with ``alive``, ``kept`` (live so far) and ``whole`` (no id missing so far).
 
-    At most n + 1000 rows, whatever the log's size.
+    At most n + 1000 rows, whatever the log's size. Messages in ``consumed`` (distinct ``msg_id``), taken out of
+    turn, are passed over like expired ones.
     """
     if n <= 0:
         raise InvalidMessage("batch size must be > 0")
@@ -38,19 +40,24 @@ def batch_candidates(log: DataFrame, read: int, next_id: int, n: int, now: int)
     rows = log.where((F.col("msg_id") >= read) & (F.col("msg_id") < read + most))
     order = Window.orderBy("msg_id")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("alive", expr.live(now)).withColumn("whole", F.row_number().over(order) == F.col("msg_id") - read + 1)
+    live = expr.live(now)
+    if consumed is not None:
+        taken = consumed.where((F.col("msg_id") >= read) & (F.col("msg_id") < read + most)).select("msg_id", F.lit(True).alias("__taken"))
+        rows = rows.join(F.broadcast(taken), "msg_id", "left")  # at most n + 1000 ids
+        live = live & F.col("__taken").isNull()
+    rows = rows.withColumn("alive", live).drop("__taken").withColumn("whole", F.row_number().over(order) == F.col("msg_id") - read + 1)
     return rows.where("whole").withColumn("kept", F.sum(F.col("alive").cast("long")).over(upto))
 
 
-def batch(log: DataFrame, read: int, next_id: int, n: int, now: int) -> DataFrame:
-    """At most n live messages in order; expired ones are passed over, the first missing id ends the batch."""
-    rows = batch_candidates(log, read, next_id, n, now)
+def batch(log: DataFrame, read: int, next_id: int, n: int, now: int, consumed: DataFrame | None = None) -> DataFrame:
+    """At most n live messages in order; expired and consumed ones are passed over, the first missing id ends the batch."""
+    rows = batch_candidates(log, read, next_id, n, now, consumed)
     return rows.where(F.col("alive") & (F.col("kept") <= n)).drop("alive", "whole", "kept")
 
 
-def batch_cursor(log: DataFrame, read: int, next_id: int, n: int, now: int) -> DataFrame:
+def batch_cursor(log: DataFrame, read: int, next_id: int, n: int, now: int, consumed: DataFrame | None = None) -> DataFrame:
     """``new_read``: one past the n-th live row, else past the last row checked."""
-    rows = batch_candidates(log, read, next_id, n, now)
+    rows = batch_candidates(log, read, next_id, n, now, consumed)
     nth = F.min(F.when(F.col("alive") & (F.col("kept") == n), F.col("msg_id")))
     return rows.agg((F.coalesce(nth, F.max("msg_id"), F.lit(read - 1)) + 1).alias("new_read"))
 
@@ -72,12 +79,15 @@ def priority_paced(log: DataFrame, read: int, now: int, step: int, n: int, windo
     """n dequeues in priority order, the k-th (from 0) at ``now + k * step``: promotion and expiry seen anew each time.
 
     Each dequeue depends on the one before, so one task takes them in turn. It gets no more than it may
-    need: for each priority the n first rows that are live at the start.
+    need, whatever the log's size: a message that lives for K of the n turns has before it all earlier ones of
+    its priority that live for K turns too, so only the first K of those can be taken; 3 n^2 / 2 rows at most.
     """
-    rows = pending(log, read, now)
-    # a message that expires before its turn frees its place, so those with an expiry are counted apart
-    lasting = F.col("expires_at").isNull() | (F.col("expires_at") > now + step * n)
-    rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy("priority", lasting).orderBy("msg_id"))).where((F.col("__r") <= n) | ~lasting)
+    turns = F.ceil((F.col("expires_at") - now) / step) if step > 0 else F.lit(n)
+    turns = F.when(F.col("expires_at").isNull(), n).otherwise(F.least(F.lit(n), turns)).cast("int")
+    rows = pending(log, read, now).select("msg_id", "ts", "priority", "expires_at", turns.alias("__k"))
+    place = F.row_number().over(Window.partitionBy("priority", "__k").orderBy("msg_id"))
+    # the limit by a constant is applied before the shuffle
+    rows = rows.withColumn("__r", place).where(F.col("__r") <= n).where("__r <= __k")
 
     def drain(batches):
         import pandas as pd
@@ -141,9 +151,9 @@ def with_header(log: DataFrame, key: str, value: str) -> DataFrame:
     return log.where(F.col("headers")[key] == value)
 
 
-def peek(log: DataFrame, read: int, next_id: int, n: int, now: int) -> DataFrame:
+def peek(log: DataFrame, read: int, next_id: int, n: int, now: int, consumed: DataFrame | None = None) -> DataFrame:
     """A batch without a cursor: id, time, and the payload's first bytes."""
-    return batch(log, read, next_id, n, now).select("msg_id", "ts", expr.preview(F.col("payload")).alias("payload"), expr.written_headers(F.col("headers")).alias("headers"))
+    return batch(log, read, next_id, n, now, consumed).select("msg_id", "ts", expr.preview(F.col("payload")).alias("payload"), expr.written_headers(F.col("headers")).alias("headers"))
 
 
 def dense_ids(rows: DataFrame, *order, start: int = 1, name: str = "msg_id") -> DataFrame:
@@ -151,14 +161,8 @@ def dense_ids(rows: DataFrame, *order, start: int = 1, name: str = "msg_id") ->
 
     Rows are dealt by ranges of the order; the ranges' sizes, one row each, give each range its offset.
     """
-    spark = rows.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
-    placed = placed.checkpoint()  # the ranges come from a sample: fix them before they are counted
+    placed = cut(placed)  # the ranges come from a sample: fix them before they are counted
     part = F.shiftright("__m", 33)
     sizes = placed.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import posixpath
 from dataclasses import dataclass, field
 
+from .observe import Logger, Metrics
+
 SECOND = 1_000_000_000
 MB = 1 << 20
 
@@ -56,6 +58,8 @@ class Options:
     compression_min_bytes: int = 1024
     dedup_window: int = 0
     dedup_max_entries: int = 100_000
+    metrics: Metrics = field(default_factory=Metrics, compare=False)
+    logger: Logger = field(default_factory=Logger, compare=False)
 
     def __post_init__(self):
         sizes = (self.max_message_bytes, self.min_free_bytes, self.dlq_max_age, self.dlq_max_size, self.compression_min_bytes, self.dedup_window, self.starvation)

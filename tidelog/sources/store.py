@@ -28,23 +28,42 @@ class Store:
             stream.close()
 
     def create(self, name: str, data: bytes) -> bool:
-        """Write a new file whole; False if there is one of that name. It shows up only when complete."""
+        """Write a new file whole; False if there is one of that name. It shows up only when complete.
+
+        The file is written under a name of its own and then renamed, which fails if the name is taken. A
+        writer that dies in between leaves a part file that nobody waits for. The store's rename must be
+        exclusive, as those of HDFS and of file systems are; a local one is done by a hard link.
+        """
         if self.exists(name):
             return False
         import uuid
 
         part = self.at(f"{name}.{uuid.uuid4().hex}.part")
         stream = self.fs.create(part, False)
-        stream.write(bytearray(data))
-        stream.close()
-        # a file is taken by whoever creates its lock; the rename then makes it visible
         try:
-            lock = self.fs.create(self.at(f"{name}.lock"), False)
-            lock.close()
-        except Exception:
+            stream.write(bytearray(data))
+        finally:
+            stream.close()
+        try:
+            if self.fs.getUri().getScheme() == "file":
+                import os
+
+                try:
+                    os.link(part.toUri().getPath(), self.at(name).toUri().getPath())
+                except FileExistsError:
+                    return False
+                return True
+            context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri(), self.fs.getConf())
+            none = self.jvm.java.lang.reflect.Array.newInstance(self.jvm.org.apache.hadoop.fs.Options.Rename.NONE.getClass(), 0)
+            try:
+                context.rename(part, self.at(name), none)
+            except Exception as error:
+                if self.exists(name):
+                    return False
+                raise error
+            return True
+        finally:
             self.fs.delete(part, False)
-            return False
-        return self.fs.rename(part, self.at(name))
 
     def delete(self, name: str) -> None:
         self.fs.delete(self.at(name), True)
