@@ -36,6 +36,19 @@ def test_a_flipped_byte_is_found(payload, where):
 
 def test_checksum_gzip_headers_and_index():
     assert codec.crc32c_bytes(b"123456789") == 0xE3069283
+
+    def plain(data):
+        c = 0xFFFFFFFF
+        for b in data:
+            c ^= b
+            for _ in range(8):
+                c = c >> 1 ^ (0x82F63B78 if c & 1 else 0)
+        return c ^ 0xFFFFFFFF
+
+    import random
+
+    rows = [random.Random(n).randbytes(n) for n in [*range(12), 63, 64, 65, 127, 128, 129, 1000, 4096, 5000, 70_000]] + [bytes(100), b"\xff" * 100]
+    assert codec.crc32c_many(rows).tolist() == [plain(r) for r in rows] and not len(codec.crc32c_many([]))
     for level in (-2, -1, 0, 1, 9):
         assert codec.gunzip_bytes(codec.gzip_bytes(b"ab" * 5000, level)) == b"ab" * 5000
     with pytest.raises(ValueError):
@@ -63,7 +76,15 @@ def test_segment_files(spark, tmp_path):
     got = {r.msg_id: r for r in binary.read_entries(spark, path).collect()}
     assert {i: bytes(got[i].payload) for i in got} == {r[0]: r[2] for r in rows} and got[3].headers == {"k": "v"}
     assert {r.base: (r.min_id, r.max_id, r.valid) for r in binary.read_headers(spark, path).collect()} == {1: (1, 10, True), 11: (11, 20, True)}
-    assert {r.msg_id: got[r.msg_id].offset for r in binary.read_index(spark, path).collect()} == {r.msg_id: r.offset for r in binary.read_index(spark, path).collect()}
+    sizes = {r[0]: len(codec.encode_entry(*r[:4], None, r[5])) for r in rows}
+    offsets = {i: 64 + sum(sizes[j] for j in range(1 if i <= 10 else 11, i)) for i in sizes}
+    assert {i: got[i].offset for i in got} == offsets
+    index, last = [], None
+    for i in sorted(sizes):
+        if i in (1, 11) or offsets[i] - last >= 4096:
+            index.append((1 if i <= 10 else 11, i, offsets[i], 100 + i))
+            last = offsets[i]
+    assert sorted(tuple(r) for r in binary.read_index(spark, path).collect()) == index and 2 < len(index) < 20
     name = tmp_path / "d" / f"{11:020d}.log"
     name.write_bytes(name.read_bytes()[:-20])
     torn = binary.read_entries(spark, path, "DROPTAIL").collect()
@@ -81,6 +102,10 @@ def test_expressions(spark):
         spark.createDataFrame([(1, 0, 5)], "n long, b long, m long").select(expr.backoff(F.col("n"), F.col("b"), F.col("m"))).collect()
     r = spark.createDataFrame([("a\nb",), ("x" * 300,), (None,), ("",)], "r string").select(expr.sanitize(F.col("r")).alias("x")).collect()
     assert [x.x for x in r] == ["a", "x" * 253 + "...", None, ""]
+    wide = spark.createDataFrame([("é" * 129,), ("x" + "é" * 130,), ("漢" * 90 + "\nrest",), ("é" * 128,)], "r string").select(expr.sanitize(F.col("r")).alias("x"), expr.sanitized_bytes(F.col("r")).alias("b")).collect()
+    assert [x.x for x in wide] == ["é" * 126 + "...", "x" + "é" * 126 + "...", "漢" * 84 + "...", "é" * 128]
+    assert [bytes(x.b) for x in wide] == [t.encode()[:253] + b"..." for t in ("é" * 129, "x" + "é" * 130, "漢" * 90)] + [("é" * 128).encode()]
+    assert [x.n for x in spark.range(3).select(expr.compression_name(F.col("id")).alias("n")).collect()] == ["none", "gzip", "unknown(2)"]
     names = spark.createDataFrame([("00000000000000000042.log",), ("42.log",), ("99999999999999999999.log",)], "n string")
     assert [x.b for x in names.select(expr.segment_base(F.col("n")).alias("b")).collect()] == [42, None, None]
     assert spark.range(1).select(expr.iso_millis(F.lit(1_706_659_200_123_456_789)).alias("t")).first().t == "2024-01-31T00:00:00.123Z"
@@ -213,3 +238,69 @@ def test_options():
         Rotation(max_messages=0)
     with pytest.raises(ValueError):
         Retention(max_age=-1)
+
+
+def test_offsets_of_a_segment(spark):
+    log = spark.createDataFrame([(i, i // 4, 10 * i) for i in range(1, 12)], "msg_id long, segment long, bytes long")
+    placed = segments.offsets(log)
+    assert [(r.msg_id, r.next_offset) for r in segments.at(placed, 1, 104).collect()] == [(5, 154)]
+    assert segments.at(placed, 1, 105).count() == 0 and segments.at(placed, 9, 64).count() == 0
+    assert [r.msg_id for r in segments.onward(placed, 1, 104).collect()] == [5, 6, 7] and [r.msg_id for r in segments.onward(placed, 0).collect()] == [1, 2, 3]
+
+
+def test_many_segments(spark):
+    n = 200_000
+    log = spark.range(1, n + 1).select(F.col("id").alias("msg_id"), F.lit(0).alias("ts"), F.lit(100).alias("bytes"))
+    bounds = segments.boundaries(log, max_messages=1)
+    assert bounds.count() == n
+    placed = segments.assign(log.select("msg_id"), bounds)
+    assert placed.where("segment = msg_id - 1").count() == n
+    few = spark.createDataFrame([(3, 5), (4, 9), (7, 100)], "segment long, first_id long")
+    ids = spark.createDataFrame([(i, 0) for i in (1, 5, 8, 9, 99, 100, 5000)], "msg_id long, segment long")
+    want = [(1, None), (5, 3), (8, 3), (9, 4), (99, 4), (100, 7), (5000, 7)]
+    for found in (segments.assign(ids, few), segments._assign_by_spans(ids, few)):
+        assert sorted(tuple(r) for r in found.select("msg_id", "segment").collect()) == want
+    assert segments.assign(ids, few.limit(0)).where("segment IS NULL").count() == 7
+
+
+def test_state_files(spark, tmp_path):
+    import json
+    import struct
+
+    from tidelog.sources import state
+
+    (tmp_path / "metadata.dat").write_bytes(struct.pack("<IQQI", 1, 7, 3, 0))
+    (tmp_path / ".retry_state.json").write_text(json.dumps({"version": 1, "max_retries": 3, "entries": [{"msg_id": 5, "retry_count": 2, "last_failure": "2024-01-31T01:00:00.123456789+01:00", "failure_reason": "x"}, {"msg_id": 6, "retry_count": 1, "last_failure": "2024-01-31T00:00:00Z"}]}, indent=2))
+    (tmp_path / ".dedup_state.json").write_text(json.dumps({"version": 1, "entries": [{"dedup_id": h, "message_id": i, "offset": 64, "enqueued_at": 1, "expires_at": e} for h, i, e in (("a", 1, 10), ("b", 2, 11))]}))
+    assert tuple(state.read_metadata(spark, str(tmp_path)).first()) == (7, 3)
+    second = 1_706_659_200 * 10**9
+    assert sorted(tuple(r) for r in state.read_retry(spark, str(tmp_path)).collect()) == [(5, 2, second + 123_456_789, "x"), (6, 1, second, "")]
+    assert [tuple(r) for r in state.read_dedup(spark, str(tmp_path), 10).collect()] == [("b", 2, 64, 1, 11)]
+    for name in ("metadata.dat", ".retry_state.json", ".dedup_state.json"):
+        (tmp_path / name).unlink()
+    assert state.read_metadata(spark, str(tmp_path)).count() == state.read_retry(spark, str(tmp_path)).count() == state.read_dedup(spark, str(tmp_path), 0).count() == 0
+    (tmp_path / "metadata.dat").write_bytes(struct.pack("<IQQI", 2, 7, 3, 0))
+    (tmp_path / ".retry_state.json").write_text('{"version": 2, "entries": []}')
+    (tmp_path / ".dedup_state.json").write_text("nonsense")
+    for read, what in ((state.read_metadata, "version"), (state.read_retry, "version"), (lambda s, p: state.read_dedup(s, p, 0), "invalid")):
+        with pytest.raises(Exception, match=what):
+            read(spark, str(tmp_path)).collect()
+
+
+def test_collector():
+    from tidelog import observe
+
+    c = observe.Collector("q", clock=lambda: 42)
+    c.enqueued(10, 500_000)
+    c.enqueued_batch(3, 30, 5_000_000)
+    c.dequeued(10, 999)
+    c.enqueue_failed(), c.dequeue_failed(), c.sought(), c.compaction_failed()
+    c.compacted(2, 100, 1)
+    c.state(1, 2, 3, 4)
+    s = c.snapshot()
+    assert (s.enqueues, s.enqueue_batches, s.enqueued_bytes, s.dequeues, s.enqueue_errors, s.dequeue_errors, s.seeks, s.compaction_errors) == (4, 1, 40, 1, 1, 1, 1, 1)
+    assert (s.compactions, s.segments_removed, s.bytes_freed, s.last_compaction, s.pending, s.segments, s.next_id, s.read_id) == (1, 2, 100, 42, 1, 2, 3, 4)
+    assert [s.percentile(s.enqueue_times, p) for p in (0.5, 0.99, 1.0)] == [500_000, 500_000, 5_000_000] and s.percentile([0] * 10, 0.5) == 0
+    c.reset()
+    assert c.snapshot().enqueues == 0 and s.enqueues == 4
+    assert [observe.level_name(i) for i in range(-1, 5)] == ["UNKNOWN", "DEBUG", "INFO", "WARN", "ERROR", "UNKNOWN"]

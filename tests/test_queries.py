@@ -56,7 +56,7 @@ def test_index_floor_of_every_message(spark):
     log = sorted((r.segment, r.msg_id) for r in catalogue._offsets(spark, SF).collect())
     index = [(r.segment, r.msg_id, r.offset) for r in QUERIES["sparse_index"](spark, SF).collect()]
     want = [(g, i, *max((x, o) for h, x, o in index if h == g and x <= i)) for g, i in log]
-    got = sorted(tuple(r) for r in QUERIES["index_floor_lookup_all"](spark, SF).collect())
+    got = sorted(tuple(r) for r in QUERIES["index_floor_lookup"](spark, SF).collect())
     assert got == want and len(got) == spark.read.parquet(f"{SF}/events.parquet").count()
 
 
@@ -65,7 +65,7 @@ def test_payload_preview_of_every_document(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     raw = [t if t is None else t.encode() for t in texts]
     want = [b if b is None else b if len(b) <= 100 else b[:100] + b"..." for b in raw]
-    got = {r.doc_id: r.preview_hex for r in QUERIES["payload_preview_all"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.preview_hex for r in QUERIES["payload_preview"](spark, str(tmp_path)).collect()}
     assert got == {i: b if b is None else b.hex().upper() for i, b in enumerate(want)}
 
 
@@ -74,3 +74,26 @@ def test_driver_contract(spark):
 
     assert set(SQL) <= set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).limit(1).count() == 1
+
+
+def test_paced_dequeues_take_a_bounded_part_and_miss_nothing(spark):
+    import random
+
+    from tidelog.operators import views
+
+    rng = random.Random(2)
+    rows = [(i, rng.randint(0, 50), rng.choice([0, 0, 1, 2]), rng.choice([None, rng.randint(90, 160)])) for i in range(1, 400)]
+    log = spark.createDataFrame(rows, "msg_id long, ts long, priority byte, expires_at long")
+    for step, window in ((3, 70), (1, 0), (0, 60)):
+        left, want = [r for r in rows if r[3] is None or r[3] > 100], []
+        for k in range(40):
+            t = 100 + k * step
+            left = [r for r in left if r[3] is None or t < r[3]]
+            if not left:
+                break
+            low = next((r for r in left if r[2] == 0), None)
+            pick = low if window and low and t - low[1] >= window else min(left, key=lambda r: (-r[2], r[0]))
+            want.append((k, pick[0]))
+            left.remove(pick)
+        got = views.priority_paced(log, 1, 100, step, 40, window)
+        assert sorted(tuple(r) for r in got.collect()) == want

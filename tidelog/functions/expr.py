@@ -52,10 +52,18 @@ def invalid_reason(max_bytes: int = 10 << 20, msg_id="msg_id", ts="ts", priority
     return code.when(h.isNotNull() & ((F.size(h) > 65535) | wide), "headers")
 
 
+def sanitized_bytes(reason: Column) -> Column:
+    """First line as UTF-8, cut to 256 bytes with an ellipsis."""
+    line = F.substring_index(reason, "\n", 1).cast("binary")
+    return F.when(F.octet_length(line) > 256, F.concat(F.substring(line, 1, 253), F.lit(b"..."))).otherwise(line)
+
+
 def sanitize(reason: Column) -> Column:
-    """First line, cut to 256 characters with an ellipsis."""
+    """The same as text: a character that the cut falls into goes as a whole, so that headers stay valid."""
     line = F.substring_index(reason, "\n", 1)
-    return F.when(F.length(line) > 256, F.concat(F.substring(line, 1, 253), F.lit("..."))).otherwise(line)
+    data = line.cast("binary")
+    cut = F.coalesce(*[F.when(F.is_valid_utf8(F.substring(data, 1, n).cast("string")), F.substring(data, 1, n).cast("string")) for n in (253, 252, 251, 250)])
+    return F.when(F.octet_length(line) > 256, F.concat(cut, F.lit("..."))).otherwise(line)
 
 
 def backoff(retries: Column, base: Column, most: Column) -> Column:

@@ -117,9 +117,28 @@ def priority_drain_nostarve(spark, d):
     return views.priority_order(logs.messages(spark, d), READ, NOW, 0).select("msg_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("priority_paced")
+PACE, PACED, PACE_STARVE = 3_600_000_000, 200, 25 * 86_400_000_000
+
+
+def _head(p: int, of: str = "min(c.msg_id)") -> str:
+    """Of the first live message of a priority after what was taken of it."""
+    return f"(SELECT {of} FROM c WHERE c.priority = {p} AND c.msg_id > d.c{p} AND (c.expires_at IS NULL OR {NOW} + (d.k + 1) * {PACE} < c.expires_at))"
+
+
+@query(
+    "priority_paced",
+    f"""WITH RECURSIVE {M}, c AS MATERIALIZED (SELECT msg_id, ts, priority, expires_at FROM m WHERE msg_id >= {READ}),
+d(k, c0, c1, c2, msg_id) AS (
+  SELECT CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+  UNION ALL
+  SELECT k, CASE WHEN p = h0 THEN p ELSE c0 END, CASE WHEN p = h1 THEN p ELSE c1 END, CASE WHEN p = h2 THEN p ELSE c2 END, p FROM (
+    SELECT *, CASE WHEN {NOW} + k * {PACE} - t0 >= {PACE_STARVE} THEN h0 ELSE coalesce(h2, h1, h0) END AS p FROM (
+      SELECT d.k + 1 AS k, d.c0, d.c1, d.c2, {_head(0)} AS h0, {_head(0, "arg_min(c.ts, c.msg_id)")} AS t0, {_head(1)} AS h1, {_head(2)} AS h2
+      FROM d WHERE d.k + 1 < {PACED} AND d.msg_id IS NOT NULL)))
+SELECT k, msg_id FROM d WHERE k >= 0 AND msg_id IS NOT NULL""",
+)
 def priority_paced(spark, d):
-    return views.priority_paced(logs.messages(spark, d), READ, NOW, 3_600_000_000, 200, 25 * 86_400_000_000)
+    return views.priority_paced(logs.messages(spark, d), READ, NOW, PACE, PACED, PACE_STARVE)
 
 
 @query("priority_oldest", f"WITH {M} SELECT CAST(priority AS BIGINT) AS priority, min(msg_id) AS msg_id FROM m WHERE msg_id >= {READ} GROUP BY priority")
@@ -174,14 +193,8 @@ def peek(spark, d):
     return views.peek(log, READ, _next(log), BATCH, NOW).withColumn("payload", F.col("payload").cast("string"))
 
 
-@query("payload_preview", "SELECT doc_id, CASE WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE text END AS preview FROM documents WHERE strlen(text) = length(text)")
+@query("payload_preview", "SELECT doc_id, CASE WHEN strlen(text) > 100 THEN left(hex(text), 200) || '2E2E2E' ELSE hex(text) END AS preview_hex FROM documents")
 def payload_preview(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").where(F.octet_length("text") == F.length("text"))
-    return docs.select("doc_id", expr.preview(F.col("text").cast("binary")).cast("string").alias("preview"))
-
-
-@query("payload_preview_all", "SELECT doc_id, CASE WHEN strlen(text) > 100 THEN left(hex(text), 200) || '2E2E2E' ELSE hex(text) END AS preview_hex FROM documents")
-def payload_preview_all(spark, d):
     """Every document; in hex, as a cut may fall inside a character."""
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.hex(expr.preview(F.col("text").cast("binary"))).alias("preview_hex"))
 
@@ -276,20 +289,25 @@ def sparse_index(spark, d):
     return segments.sparse_index(_offsets(spark, d))
 
 
-@query(
-    "index_floor_lookup",
-    f'WITH RECURSIVE {M}, {INDEX} SELECT q.segment, q.msg_id, max(x.msg_id) AS floor_id, max(x."offset") AS floor_offset FROM q JOIN x ON x.segment = q.segment AND x.msg_id <= q.msg_id WHERE q.msg_id % 97 = 0 GROUP BY ALL',
-)
+@query("index_floor_lookup", f'WITH RECURSIVE {M}, {INDEX} SELECT q.segment, q.msg_id, x.msg_id AS floor_id, x."offset" AS floor_offset FROM q ASOF JOIN x ON x.segment = q.segment AND x.msg_id <= q.msg_id')
 def index_floor_lookup(spark, d):
+    """Every message is looked up."""
     log = _offsets(spark, d)
-    return segments.index_floor(segments.sparse_index(log), log.where("msg_id % 97 = 0").select("segment", "msg_id"))
+    return segments.index_floor(segments.sparse_index(log), log.select("segment", "msg_id"))
 
 
-@query("index_floor_lookup_all", f'WITH RECURSIVE {M}, {INDEX} SELECT q.segment, q.msg_id, x.msg_id AS floor_id, x."offset" AS floor_offset FROM q ASOF JOIN x ON x.segment = q.segment AND x.msg_id <= q.msg_id')
-def index_floor_lookup_all(spark, d):
-    """Every message is looked up; the query above is a sample of it."""
+@query("read_at_offset", f'WITH {M}, {OFFSETS} SELECT segment, "offset", msg_id, payload, CAST("offset" + bytes AS BIGINT) AS next_offset FROM o WHERE segment = 2 AND "offset" = (SELECT "offset" FROM o WHERE msg_id = 2 * {PER_SEGMENT} + 17)')
+def read_at_offset(spark, d):
+    """The entry at one offset, which the message 16 after the segment's first has."""
     log = _offsets(spark, d)
-    return segments.index_floor(segments.sparse_index(log), log.select("segment", "msg_id"))
+    offset = log.where(F.col("msg_id") == 2 * PER_SEGMENT + 17).select("offset").first()
+    rows = segments.at(log, 2, offset[0] if offset else -1)
+    return rows.select("segment", F.col("offset").cast("long").alias("offset"), "msg_id", F.col("payload").cast("string").alias("payload"), F.col("next_offset").cast("long").alias("next_offset"))
+
+
+@query("read_from_offset", f'WITH {M}, {OFFSETS} SELECT msg_id, "offset" FROM o WHERE segment = 0 AND "offset" >= 30000')
+def read_from_offset(spark, d):
+    return segments.onward(_offsets(spark, d), 0, 30000).select("msg_id", F.col("offset").cast("long").alias("offset"))
 
 
 def _retained(policy: Retention) -> str:
@@ -402,9 +420,13 @@ def backoff_schedule(spark, d):
     return rows.withColumn("delay", expr.backoff(F.col("retries"), F.col("base"), F.col("most")))
 
 
-@query("sanitize_reason", "SELECT doc_id, CASE WHEN length(split_part(text, chr(10), 1)) > 256 THEN left(split_part(text, chr(10), 1), 253) || '...' ELSE split_part(text, chr(10), 1) END AS reason FROM documents")
+LINE = "hex(split_part(text, chr(10), 1))"
+
+
+@query("sanitize_reason", f"SELECT doc_id, CASE WHEN length({LINE}) > 512 THEN left({LINE}, 506) || '2E2E2E' ELSE {LINE} END AS reason_hex FROM documents")
 def sanitize_reason(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", expr.sanitize(F.col("text")).alias("reason"))
+    """In hex, as a cut may fall inside a character."""
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.hex(expr.sanitized_bytes(F.col("text"))).alias("reason_hex"))
 
 
 @query(
@@ -482,7 +504,13 @@ def compress_roundtrip(spark, d):
     return back.select("doc_id", F.octet_length("back").cast("long").alias("n_bytes"), F.sha2("back", 256).alias("digest"))
 
 
-@query("crc32c_check")
+@query(
+    "crc32c_check",
+    f"""WITH {M}, t AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(CAST(b AS BIGINT), [CAST(0 AS BIGINT) FOR i IN range(8)]), lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 2197175160 ELSE 0 END))) AS tab),
+x AS (SELECT msg_id, [CAST('0x' || hex(payload)[2 * i - 1:2 * i] AS BIGINT) FOR i IN range(1, strlen(payload) + 1)] AS bytes FROM m)
+SELECT msg_id, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS crc FROM x, t""",
+)
 def crc32c_check(spark, d):
     return logs.messages(spark, d).select("msg_id", codec.crc32c("payload").alias("crc"))
 
@@ -499,13 +527,12 @@ def binary_roundtrip(spark, d):
 
 def _stream(spark, d, build):
     """Drain a stream over the log into a table and read it."""
-    import tempfile
     import uuid
 
+    from ..checkpoints import folder
     from ..streaming import consume
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream")
-    at = f"{root}/stream-{uuid.uuid4().hex}"
+    at = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
     log = logs.messages(spark, d)
     log.write.parquet(f"{at}/log")
     stream = consume.messages(spark, f"{at}/log", log.schema)
