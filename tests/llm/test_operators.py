@@ -89,6 +89,19 @@ def test_dedup_keeps_one_row_of_each_group(spark):
     assert sorted(got, key=str) == sorted([(1, a, "x"), (2, b, "x"), (None, c, "x"), (5, None, "x")], key=str)
 
 
+def test_simhash_of_null_and_repeated_ids(spark):
+    a, b = "one text of some words here", "quite another text with words"
+    df = spark.createDataFrame([(None, a), (None, a), (None, b), (7, a), (7, b), (3, None)], "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect())
+    assert got == {(None, 7): 3, (7, 7): 2, (3, 3): 1}
+    alone = simhash.near_duplicates(df.where("doc_id IS NULL")).collect()
+    assert len(alone) == 3 and all(r.component_id is None for r in alone)
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {(r.node, r.root) for r in simhash.components(path).collect()} == {(i, 0) for i in range(41)}
+    with pytest.raises(RuntimeError):
+        simhash.components(path, rounds=1)
+
+
 def test_simhash_long_lists(spark):
     """Lists beyond the limit go by midpoints: the same components."""
     import random
@@ -160,6 +173,14 @@ def test_quality_rules(spark, real):
     verdict = quality.judge(big, fitted).where("NOT base_failed").join(big_labels.where("doc_id % 2 = 1"), "doc_id").collect()
     good, bad = ([r.kept for r in verdict if r.quality == q] for q in (1, 0))
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.5 * len(bad)
+    # the conditional expression against the rules in plain Python
+    names = list(quality.features())
+    stats = quality.statistics(big).select("doc_id", *[f.alias(k) for k, f in quality.features().items()]).collect()
+    holds = lambda r, rule: all(r[n] > x if sign == ">" else r[n] <= x for n, sign, x in rule)
+    some = fitted + [[(names[0], ">", 5.0), (names[-1], "<=", 0.4)], [(names[4], ">", 0.1)]]
+    want = {r.doc_id: not any(holds(r, rule) for rule in some) for r in stats}
+    got = {r.doc_id: r.kept for r in quality.judge(big, some).where("NOT base_failed").collect()}
+    assert fitted and got == {i: want[i] for i in got} and len(set(got.values())) == 2
     kept = quality.keep_good(real, labels)
     assert kept.columns == real.columns
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality.judge(real, quality.fit(real, labels)).collect() if r.kept}
@@ -241,6 +262,47 @@ def test_secret_battery_equals_a_plain_one(spark):
         assert abs(r.x - want) < 0.02 * want + 0.02, r  # the tail is good to seven digits, far out to less
 
 
+def test_secret_spans_equal_plain_ones(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", B64]
+    tokens = ["".join(rng.choices(rng.choice(alphabets), k=rng.randint(18, 150))) for _ in range(150)] + ["TheQuickBrownFoxJumps12", "some-long-name_with-parts-2024", "x" * 30, "1" * 25] * 3
+    texts = [" ".join(rng.sample(tokens, 4) + ["token: abcdefgh1", "plain words"]) for _ in range(60)]
+    limit = {(e, c): 40 + 3 * c + e for e in range(4) for c in range(len(secrets.CLASSES))}
+    monkeypatch.setattr(secrets, "limits", lambda *_: limit)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def kind(x):
+        digit, letter = re.search("[0-9]", x), re.search("[A-Za-z]", x)
+        if digit and letter and re.fullmatch("[0-9a-f]+|[0-9A-F]+", x):
+            return 0
+        if digit and letter and re.fullmatch("[A-Z2-7]+=*", x):
+            return 1
+        if digit and letter and re.fullmatch("[a-z0-9]+|[A-Z0-9]+", x):
+            return 2
+        return 3 if digit and re.search("[a-z]", x) and re.search("[A-Z]", x) else None
+
+    close = found = 0
+    for r in secrets.scan(df).collect():
+        base = [(b.s, b.e) for b in r.base]
+        got = {(x.s, x.e) for x in r.found if x.k == 3}
+        for m in re.finditer("[A-Za-z0-9+/_-]{20,}={0,2}", texts[r.doc_id]):
+            e = kind(m[0])
+            if e is None or any(a < m.end() and m.start() < z for a, z in base):
+                assert m.span() not in got
+                continue
+            cls = max(i for i, low in enumerate(secrets.CLASSES) if len(m[0].rstrip("=")) >= low or not i)
+            edge = (limit[e, cls] + 1) * secrets.BIN
+            x = plain_score(m[0], e)
+            if abs(x - edge) < 0.2:
+                close += 1
+                continue
+            assert (m.span() in got) == (x < edge)
+            found += x < edge
+    assert found > 50 and close < 10
+
+
 def test_secret_limits():
     decoys = {(3, 1, b): 10 for b in range(20, 30)}
     assert secrets.limits({(3, 1, 5): 40, (3, 1, 25): 40}, decoys, 0.05) == {(3, 1): 5}
@@ -445,6 +507,39 @@ def test_licences(docs):
     assert licences.scan_text(b"a license for the software to use and copy", index)[5] == ""
 
 
+def test_licences_equal_brute_force():
+    import random
+
+    rng = random.Random(6)
+    index = licences.Index(licences.TEMPLATES)
+    vocabulary = sorted({w for t, _ in licences.TEMPLATES.values() for w in t.split()})
+
+    def plain(words_):
+        out = {}
+        for k, (text, phrases) in licences.TEMPLATES.items():
+            own = text.split()
+            for start in range(-len(own), len(words_)):
+                window = words_[max(0, start - 2) : max(max(0, start - 2), start + len(own) + 4)]
+                if not all(any(window[i : i + len(p.split())] == p.split() for i in range(len(window))) for p in phrases):
+                    continue
+                share = sum(w in words_[max(0, start + i - 2) : max(0, start + i + 3)] for i, w in enumerate(own)) / len(own)
+                if share >= 0.6:
+                    out[k] = max(share, out.get(k, 0.0))
+        return out
+
+    for n in range(40):
+        words_ = rng.choices(vocabulary, k=rng.randint(0, 60))
+        for k in rng.sample(sorted(licences.TEMPLATES), 1 + n % 2):
+            own = licences.TEMPLATES[k][0].split()
+            for _ in range(len(own) * rng.choice([0, 0, 5, 10]) // 100):
+                own[rng.randrange(len(own))] = rng.choice(["x1", "y2", "z3"])
+            words_ += own + rng.choices(vocabulary, k=rng.randint(0, 30))
+        _, _, _, _, base, labels, score = licences.scan_text(" ".join(words_).encode(), index)
+        want = plain(words_)
+        assert labels == ",".join(sorted({*filter(None, base.split(",")), *want})), n
+        assert score == (1.0 if base else max(want.values(), default=0.0))
+
+
 def test_pages(spark):
     html = (
         "<html><head><title>No</title><style>p{}</style><script>var a='<p>x</p>'</script></head><body><header><p>Site, name. Top.</p></header><nav><ul><li><a href=x>Menu</a></ul></nav>"

@@ -5,7 +5,7 @@ over the templates. For a file, its licence words of the highest weight are look
 for the place where its template would start, and templates whose votes agree on a place are compared
 word by word there. A template is reported if enough of its words stand and all its key phrases do.
 
-Places with at least half the votes of the best one are compared, so what is reported is exact for copies
+Places with at least half the votes of the best one are compared, and those within the slack of them, so what is reported is exact for copies
 whose looked-up words stand together; a copy so broken that other places outvote it is not found.
 """
 
@@ -207,7 +207,8 @@ class Index:
         for k, by in votes.items():
             top = max(by.values())
             best = 0.0
-            for start in sorted(s for s, n in by.items() if 2 * n >= top):
+            near = range(-self.slack, self.slack + 1)
+            for start in sorted({s + d for s, n in by.items() if 2 * n >= top for d in near}):
                 share = self._share(k, words, start)
                 if share > best and self._phrases(k, words, start):
                     best = share
