@@ -29,6 +29,8 @@ def look_up(rows: DataFrame, facts: DataFrame, key: str, total: int, how: str =
     """
     share = total / HOT_SHARE
     hot = facts.where((F.col("__n") > share) & F.col(key).isNotNull())
+    if not hot.limit(1).count():
+        return rows.join(facts.drop("__n"), key, how)
     some = F.broadcast(hot.drop("__n"))
     by_broadcast = rows.join(some, key, how)
     others = rows.where(F.col(key).isNotNull()).join(F.broadcast(hot.select(key)), key, "left_anti")
