@@ -41,7 +41,7 @@ def token_ids(spark, docs, sf_dir):
 
     The workers keep less than by default, as they stay beside the executors' other stages.
     """
-    return pieces.encode(docs, group_chars=400_000, max_edges=3_000_000)
+    return pieces.encode(docs, group_chars=200_000, max_edges=1_000_000)
 
 
 STAGES = [
