@@ -270,3 +270,28 @@ def test_taking_over_a_queue(spark, tmp_path):
     assert texts(log.table().where("msg_id > 6").collect()) == ["y"] and [r["segment"] for r in log.segments().orderBy("segment").collect()] == [0, 1]
     with pytest.raises(LogError):
         state.take_over(log, str(old))
+
+
+def test_stream_metrics(spark, tmp_path):
+    import time
+
+    from tidelog import schema
+    from tidelog.observe import Collector, StreamMetrics
+    from tidelog.streaming import consume
+
+    log = make(spark, tmp_path / "q")
+    log.enqueue_batch([b"a", b"b", b"c"])
+    log.entries().select(*schema.MESSAGE.names).write.parquet(str(tmp_path / "m"))
+    c, seen = Collector(), []
+    listener = StreamMetrics(c)
+    spark.streams.addListener(listener)
+    try:
+        stream = consume.messages(spark, str(tmp_path / "m"), schema.MESSAGE)
+        consume.consume(stream, lambda rows, n: seen.extend(r.msg_id for r in rows.collect()), str(tmp_path / "c"), drain=True).awaitTermination()
+        for _ in range(300):
+            if c.snapshot().dequeues:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert sorted(seen) == [1, 2, 3] and c.snapshot().dequeue_batches == 1 and c.snapshot().dequeues >= 3

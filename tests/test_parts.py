@@ -304,3 +304,14 @@ def test_collector():
     c.reset()
     assert c.snapshot().enqueues == 0 and s.enqueues == 4
     assert [observe.level_name(i) for i in range(-1, 5)] == ["UNKNOWN", "DEBUG", "INFO", "WARN", "ERROR", "UNKNOWN"]
+
+
+def test_checkpoint_folder():
+    from types import SimpleNamespace as Fake
+
+    from tidelog.checkpoints import folder
+
+    session = lambda named, master: Fake(conf=Fake(get=lambda key, default=None: named), sparkContext=Fake(master=master, getCheckpointDir=lambda: "/made"))
+    assert folder(session("hdfs://x/y", "spark://a")) == "hdfs://x/y" and folder(session(None, "local[2]")) == "/made"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        folder(session(None, "spark://a"))

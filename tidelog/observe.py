@@ -144,7 +144,10 @@ class Collector(Metrics):
 
 
 class StreamMetrics(StreamingQueryListener):
-    """Reports the batches of streaming queries over a log: ``spark.streams.addListener(StreamMetrics(collector))``."""
+    """Reports the batches of streaming queries over a log: ``spark.streams.addListener(StreamMetrics(collector))``.
+
+    Rows are counted as Spark counts them: as often as a batch reads them, twice where its handler sorts.
+    """
 
     def __init__(self, metrics: Metrics):
         self.metrics = metrics
