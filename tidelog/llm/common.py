@@ -17,6 +17,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes for each core below which a table of few files is dealt out.
+SMALL = 64 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A small table of fewer files than the session has cores, dealt out over all of them; any other as it is.
+
+    Work on texts takes far longer than moving them, and a small file of one row group is one task. Tables of
+    a size that matters have more splits than cores and are not moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL * cores and len(df.inputFiles()) < cores else df
+
+
 #: One in so many rows makes a key hot: there are at most so many hot keys, whatever the table.
 HOT_SHARE = 1000
 
@@ -66,4 +81,4 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-__all__ = ["WORD", "WS", "WS_RUN", "binary_column", "cut", "free_name", "let", "look_up", "table", "text_or_empty", "word_count"]
+__all__ = ["WORD", "WS", "WS_RUN", "binary_column", "cut", "dealt", "free_name", "let", "look_up", "table", "text_or_empty", "word_count"]

@@ -17,7 +17,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, table
+from .common import binary_column, dealt, table
 
 #: A-Z lower-cased, other ASCII without letters and digits blank; bytes above 127 are word characters.
 FOLD = bytes((b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32) for b in range(256))
@@ -287,7 +287,7 @@ def scan(docs: DataFrame, templates: dict | None = None, id_col: str = "doc_id",
 
 
 def op8(spark, sf_dir):
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(dealt(table(spark, sf_dir, "documents")))
 
 
 def base(spark, sf_dir):

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from .common import HOT_SHARE, cut, table, word_count
+from .common import HOT_SHARE, cut, dealt, table, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -148,7 +148,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op1(spark, sf_dir):
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(dealt(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = {

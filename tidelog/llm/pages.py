@@ -24,7 +24,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import dealt, table
 
 #: A tag to its end; quotes count after an equals sign only. Group 4 is a quote that nothing closes.
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(["']).*+)?+)*+)(>?)""", re.S)
@@ -310,7 +310,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def op9(spark, sf_dir):
-    return extract(table(spark, sf_dir, "pages"))
+    return extract(dealt(table(spark, sf_dir, "pages")))
 
 
 QUERIES = {"op9_page_text": op9}

@@ -24,7 +24,7 @@ from itertools import chain, pairwise, repeat
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import dealt, table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -820,7 +820,7 @@ def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id",
 
 
 def op10(spark, sf_dir):
-    return encode(table(spark, sf_dir, "documents"))
+    return encode(dealt(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {"op10_sentencepiece": op10}

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, let, table
+from .common import dealt, free_name, let, table
 
 ROUNDS = 10
 #: Where the registered query finds its key, and what it takes without one. Operators have no default.
@@ -291,7 +291,7 @@ def replaced(docs: DataFrame, key: str, text_col: str = "text", kinds_col: str =
 
 
 def op2(spark, sf_dir):
-    df = replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(KEY_SETTING, EXAMPLE_KEY))
+    df = replaced(dealt(table(spark, sf_dir, "documents")).select("doc_id", "text"), spark.conf.get(KEY_SETTING, EXAMPLE_KEY))
     count = lambda name: F.size(F.filter("kinds", lambda k: k == name)).cast("long").alias(f"n_{name}")
     counts = [count(name) for name in KINDS]
     return df.select("doc_id", "text", *counts)

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, WS_RUN, table, text_or_empty
+from .common import WS, WS_RUN, dealt, table, text_or_empty
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -213,13 +213,13 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op4(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(table(spark, sf_dir, "documents"))
     return judge(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
 def base(spark, sf_dir):
     """The columns of op4 that no learning goes into, which SQL can express."""
-    found = judge(table(spark, sf_dir, "documents"), [])
+    found = judge(dealt(table(spark, sf_dir, "documents")), [])
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, MapType, StructField, StructType
 
-from .common import binary_column, cut, free_name, look_up, table
+from .common import binary_column, cut, dealt, free_name, look_up, table
 
 BITS = 64
 BYTES = 8
@@ -225,7 +225,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
 
 
 def op5(spark, sf_dir):
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_duplicates(dealt(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -16,7 +16,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, table
+from .common import binary_column, dealt, table
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
@@ -119,7 +119,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT, i
 
 
 def op6(spark, sf_dir):
-    return count_tokens(table(spark, sf_dir, "documents"))
+    return count_tokens(dealt(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {"op6_token_counts": op6}
