@@ -134,6 +134,9 @@ def test_batches_after_priority_reads(spark, tmp_path):
     assert [r["msg_id"] for r in log.dequeue_batch(10)] == [7]
     log.seek_id(2)
     assert log.dequeue()["msg_id"] == 3
+    log.clear()
+    with pytest.raises(NoMessages):
+        log.dequeue()
 
 
 def test_taken_ids_are_folded(spark, tmp_path, monkeypatch):

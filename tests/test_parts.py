@@ -169,6 +169,12 @@ def test_rotation(spark):
     for kw in ({"max_bytes": 100}, {"max_messages": 4}, {"max_bytes": 100, "max_messages": 2}, {"max_time": 30}):
         want = plain(kw.get("max_bytes", 0), kw.get("max_messages", 0), kw.get("max_time", 0))
         assert [tuple(r) for r in segments.boundaries(log, **kw).collect()] == want, kw
+    # rows out of order, ids with gaps, sizes beyond 32 bits, several partitions
+    wide = [(3 * i + 1, i, n << 30) for i, n in enumerate(sizes)]
+    gaps = spark.createDataFrame(wide[::-1], "msg_id long, ts long, bytes long").repartition(3)
+    want = [(g, 3 * (i - 1) + 1) for g, i in plain(100)]
+    assert [tuple(r) for r in segments.boundaries(gaps, max_bytes=100 << 30).collect()] == want
+    assert segments.boundaries(log.limit(0), max_bytes=100).count() == 0
     carried = segments.boundaries(log, max_bytes=100, carry=(3, 95, 2)).collect()
     assert [tuple(r) for r in carried][:2] == [(4, 2), (5, 5)]  # 145 after row 1; rows 2 to 4 hold 270
 

@@ -400,6 +400,11 @@ class Log:
         left = {k: r for k, r in self.state["retry"].items() if k not in dying}
         self._commit(self.version + 1, retry=left)
 
+    def clear(self) -> None:
+        """Take all that is pending as read, whatever its priority."""
+        self._open()
+        self._commit(self.version + 1, read=self.state["next"], consumed=[])
+
     def clear_retries(self) -> None:
         """Forget all failures."""
         self._open()

@@ -23,21 +23,37 @@ def boundaries(log: DataFrame, max_bytes: int = 0, max_messages: int = 0, max_ti
     """``segment, first_id``: where each segment of a size, count or time rotation begins.
 
     A segment is closed before a write once it holds max_bytes, max_messages or lasts max_time; where it
-    closes depends on where it began, so the ids and sizes (24 bytes a row, nothing else) pass through one
-    task in order, in batches and with a few numbers of state. A log that is appended to needs this for the
-    new rows only: ``carry`` is the open segment's ordinal, bytes and messages.
+    closes depends on where it began, so sizes pass through one task in order, with a few numbers of state.
+    Rows are sorted by ranges of ids in parallel and packed, some thousand to a value, into 4 bytes each (more
+    where ids have gaps or times count); the one task puts the values in order and folds them. A log that is
+    appended to needs this for the new rows only: ``carry`` is the open segment's ordinal, bytes and messages.
     """
 
+    def pack(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            ids, sizes, ts = (b.column(c).to_numpy() for c in ("msg_id", "bytes", "ts"))
+            if not len(ids):
+                continue
+            gaps = b"" if ids[-1] - ids[0] == len(ids) - 1 else ids.tobytes()
+            wide = sizes.max() >= 1 << 31 or sizes.min() < 0
+            row = {"first": [int(ids[0])], "n": [len(ids)], "ids": [gaps], "sizes": [(sizes if wide else sizes.astype(np.int32)).tobytes()], "ts": [ts.tobytes() if max_time else b""]}
+            yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("first", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("ts", pa.binary())]))
+
     def fold(batches):
         import numpy as np
         import pyarrow as pa
 
         ordinal, held, count = carry
         began, opened = None, carry[1] > 0 or carry[2] > 0
-        for b in batches:
-            ids, sizes, ts = (b.column(c).to_numpy() for c in ("msg_id", "bytes", "ts"))
-            total = np.concatenate([[0], np.cumsum(sizes)])
-            out, at, n = [], 0, len(ids)
+        for first, n, ids, sizes, ts in ((v.as_py() for v in row) for b in batches for row in zip(*b.columns, strict=True)):
+            ids = np.frombuffer(ids, np.int64) if ids else np.arange(first, first + n)
+            sizes = np.frombuffer(sizes, np.int64 if len(sizes) == 8 * n else np.int32)
+            ts = np.frombuffer(ts, np.int64) if ts else np.zeros(n, np.int64)
+            total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+            out, at = [], 0
             if n and not opened:
                 out.append((ordinal, int(ids[0])))
                 opened, began = True, int(ts[0])
@@ -64,7 +80,8 @@ def boundaries(log: DataFrame, max_bytes: int = 0, max_messages: int = 0, max_ti
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["segment", "first_id"])
 
     rows = log.select(F.col("msg_id").cast("long").alias("msg_id"), F.col("bytes").cast("long").alias("bytes"), F.col("ts").cast("long").alias("ts"))
-    return rows.repartition(1).sortWithinPartitions("msg_id").mapInArrow(fold, "segment long, first_id long")
+    packed = rows.repartitionByRange("msg_id").sortWithinPartitions("msg_id").mapInArrow(pack, "first long, n long, ids binary, sizes binary, ts binary")
+    return packed.repartition(1).sortWithinPartitions("first").mapInArrow(fold, "segment long, first_id long")
 
 
 def assign(log: DataFrame, bounds: DataFrame) -> DataFrame:
