@@ -32,8 +32,9 @@ QUERY_BLOCK = 1024
 CHUNK = 1024
 #: Components of the candidates that a task holds.
 CELL_VALUES = 4_000_000
-#: The longest vectors, which every query meets first, and at most so many ranges of length.
+#: The longest vectors, which every query meets first, at most so many components; and at most so many ranges of length.
 SEEDS = 2048
+SEED_VALUES = 1_000_000
 MAX_RANGES = 2048
 
 
@@ -199,11 +200,10 @@ def top_k(vectors: DataFrame, is_query, k: int = TOP_K, cell_values: int = CELL_
     longest = np.maximum.accumulate([math.sqrt(held[r]["n2"]) if r in held else 0.0 for r in range(len(bounds) + 1)]).tolist()
 
     # each query's floor: its k-th best score among the longest vectors
-    long_rows = data.orderBy(F.desc("n2"), "vec_id").limit(seeds).select("vec_id", "q").collect()  # at most ``seeds`` rows
-    seed_ids = np.array([r["vec_id"] for r in long_rows], np.int64)
-    seed_x = np.zeros((len(long_rows), dims), np.int64)
-    for i, r in enumerate(long_rows):
-        seed_x[i, : len(r["q"])] = r["q"]
+    seeds = max(k + 1, min(seeds, SEED_VALUES // dims))
+    longest_rows = data.orderBy(F.desc("n2"), "vec_id").limit(seeds).select("vec_id", "q").toArrow()  # 8 MB at most
+    seed_ids = longest_rows.column("vec_id").to_numpy()
+    seed_x = _matrix(longest_rows.column("q").combine_chunks(), dims)
     shared = spark.sparkContext.broadcast((seed_ids, seed_x, basis))
 
     def floors(batches):
