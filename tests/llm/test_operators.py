@@ -776,3 +776,32 @@ def test_samples_after_long_runs(alphabet):
         assert same.all() and [ids[a:b].tolist() for a, b in itertools.pairwise(cut)] == [m.sp.encode(t) for t in texts]
         for alive, got, at, _, _ in drawn:
             assert alive.all() and [m.sp.decode(got[a:b].tolist()) for a, b in itertools.pairwise(at)] == texts
+
+
+def test_piece_store_shrinks_in_place():
+    import random
+    import tracemalloc
+
+    import numpy as np
+
+    rng = random.Random(12)
+    m = pieces.model(pieces.model_path(), pieces.SCALE)
+    often = ["".join(rng.choices("aeinorst", k=rng.randint(3, 12))) for _ in range(2000)]
+    held = pieces.Store(m, 400_000)
+    while held.n["edge"] <= held.max_edges:
+        held.numbers(sorted({*often, *("".join(rng.choices("abcdefghij", k=9)) for _ in range(5000))}))
+    size = sum(getattr(held, k)[: held.n["edge"]].nbytes for k in held.EDGES)
+    tracemalloc.start()
+    began = tracemalloc.get_traced_memory()[0]
+    held._shrink()
+    more = tracemalloc.get_traced_memory()[1] - began
+    tracemalloc.stop()
+    assert more < size / 2  # a second store would be more than one
+    kept, alone = list(held.index), pieces.Store(m, 400_000)
+    assert set(often) <= set(kept) and list(held.index.values()) == list(range(len(kept)))
+    a, b = held.numbers(kept), alone.numbers(kept)
+    spread = lambda s, at: [pieces._spread(s.ptr[s.first[at]], s.ptr[s.last[at] + 1] - s.ptr[s.first[at]]), pieces._spread(s.best_at[at], s.best_n[at])]
+    (e, i), (f, j) = spread(held, a), spread(alone, b)
+    assert all(np.array_equal(getattr(held, k)[e], getattr(alone, k)[f]) for k in held.EDGES) and np.array_equal(held.best[i], alone.best[j]) and np.array_equal(held.entropy[a], alone.entropy[b])
+    size_of = lambda s: s.ptr[: s.n["node"] + 1]
+    assert np.array_equal(size_of(held), size_of(alone))

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import contextlib
 import re
-from itertools import chain, pairwise, repeat
+from itertools import chain, compress, pairwise, repeat
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +32,11 @@ SPACE = "▁"
 SCALE = 0.0005
 SAMPLES = 2
 #: Characters of the texts sampled together.
-GROUP_CHARS = 1_600_000
+GROUP_CHARS = 500_000
 #: Edges of the word lattices that a worker keeps; a word has 20 or so.
-MAX_EDGES = 8_000_000
+MAX_EDGES = 7_000_000
+#: New words whose lattices are made together.
+FRESH_WORDS = 16_384
 #: Entropy of the words of a text whose untaken choices are looked at first.
 NEAR_NATS = 40.0
 UNKNOWN_PENALTY = 10.0
@@ -268,17 +270,29 @@ class Store:
         n = self.n["word"]
         cost = self.ptr[self.last[:n] + 1] - self.ptr[self.first[:n]]
         order = np.argsort(-self.uses[:n], kind="stable")
-        order = order[(self.uses[order] > 1) & (np.cumsum(cost[order]) <= self.max_edges // 2)]
-        names = list(self.index)  # in order of their numbers
+        order = np.sort(order[(self.uses[order] > 1) & (np.cumsum(cost[order]) <= self.max_edges // 2)])
+        # in place, one array after the other: what is kept moves towards the front, and no second store is made
         first, size, cost = self.first[order], (self.last - self.first)[order] + 1, cost[order]
+        n_ids, best_at = self.best_n[order], self.best_at[order]
+        edges = _spread(self.ptr[first], cost).astype(np.int32)
+        for k in self.EDGES:
+            held = getattr(self, k)
+            held[: len(edges)] = held[edges]
+        del edges
         node_at, edge_at = np.cumsum(size) - size, np.cumsum(cost) - cost
-        nodes, edges = _spread(first, size), _spread(self.ptr[first], cost)
-        ids = _spread(self.best_at[order], self.best_n[order])
-        ptr = np.concatenate([self.ptr[nodes] - np.repeat(self.ptr[first] - edge_at, size), [int(cost.sum())]])
-        kept = ([names[i] for i in order.tolist()], node_at, node_at + size - 1, ptr, self.entropy[order], *(getattr(self, k)[edges] for k in self.EDGES))
-        kept += (self.best[ids], self.best_n[order], self.uses[order] // 2)
-        self.__init__(self.m, self.max_edges)
-        self._append(*kept)
+        ptr = self.ptr[_spread(first, size)]
+        ptr -= np.repeat(self.ptr[first] - edge_at, size)
+        self.ptr[: len(ptr)] = ptr
+        self.ptr[len(ptr)] = n_edges = int(cost.sum())
+        best = self.best[_spread(best_at, n_ids)]
+        self.best[: len(best)] = best
+        words = len(order)
+        self.entropy[:words], self.uses[:words], self.best_n[:words] = self.entropy[order], self.uses[order] // 2, n_ids
+        self.first[:words], self.last[:words], self.best_at[:words] = node_at, node_at + size - 1, np.cumsum(n_ids) - n_ids
+        kept = np.zeros(n, bool)
+        kept[order] = True
+        self.index = dict(zip(compress(self.index, kept.tolist()), range(words)))  # words are in order of their numbers
+        self.n = {"word": words, "node": len(ptr), "edge": n_edges, "id": len(best)}
 
     def numbers(self, words: list[str]):
         """Number of each of a group's distinct words, after adding the new ones."""
@@ -292,10 +306,11 @@ class Store:
         new = np.flatnonzero(at < 0)
         if len(new):
             fresh = [words[i] for i in new.tolist()]
-            best, sizes = best_ids(self.m, fresh)
-            lat = Lattices(self.m, fresh)
             at[new] = np.arange(len(fresh)) + self.n["word"]
-            self._append(fresh, lat.first, lat.last, lat.ptr, lat.entropy, lat.piece, lat.logp, lat.upto, best, sizes, np.zeros(len(fresh), np.int32))
+            for some in (fresh[i : i + FRESH_WORDS] for i in range(0, len(fresh), FRESH_WORDS)):
+                best, sizes = best_ids(self.m, some)
+                lat = Lattices(self.m, some)
+                self._append(some, lat.first, lat.last, lat.ptr, lat.entropy, lat.piece, lat.logp, lat.upto, best, sizes, np.zeros(len(some), np.int32))
         self.uses[at] += 1
         return at
 
@@ -737,7 +752,7 @@ def encode(docs: DataFrame, samples: int = SAMPLES, ids: bool = True, path: str
     the id and the text are not read; an empty table gives none.
 
     ``group_chars``, the characters worked on together, and ``max_edges``, the edges of the lattices that a worker
-    keeps, set its memory (some 0.8 GB by default) against time; results do not depend on them.
+    keeps, set its memory (some 0.5 GB by default) against time; results do not depend on them.
 
     Choices in words beyond the first ``near_nats`` of entropy become branches only if the text's branches so far
     leave them a chance over e^-25 to matter; with ``math.inf`` every choice of every word does.
