@@ -342,6 +342,40 @@ def test_secret_randomness(spark):
     assert secrets.scan(long_).count() == 1
 
 
+def test_secret_decoys_are_from_all_words(spark, monkeypatch):
+    import random
+
+    rng = random.Random(13)
+    words = ["".join(rng.choices("aabcdeeefghiiklmnoooprstuvw", k=rng.randint(2, 12))) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=n)) for n in (4000, 60, 5, 1)] + ["", "x9 " * 50 + "a-b Äbc", None]
+    seen = []
+    monkeypatch.setattr(secrets, "limits", lambda c, d, fdr: seen.append(collections.Counter(d)) or {})
+    for rows in (texts, [""]):
+        secrets.scan(spark.createDataFrame([(1, t) for t in rows], "doc_id long, text string")).collect()
+    got = seen[0] - seen[1]
+    assert sum(got.values()) > 1500
+    hashes = [r.h for r in spark.createDataFrame([(t or "",) for t in texts], "t string").select(F.xxhash64("t").alias("h")).collect()]
+    want = collections.Counter()
+    for t, h in zip(texts, hashes, strict=True):
+        w = "".join(x.capitalize() for x in re.findall(r"(?<![\w+/=-])[A-Za-z]{2,19}(?![\w+/=-])", t or ""))
+        for hexadecimal in (True, False):
+            i, at = h % len(secrets.CYCLE), 0
+            while at < len(w):
+                n, tail = secrets.CYCLE[i]
+                size = (n + 1) // 2 if hexadecimal else n - len(tail)
+                own = w[at : at + size]
+                made = {0: own.encode().hex()[:n]} if hexadecimal else {1: own.upper() + tail.translate(str.maketrans("0189", "2345")), 2: own.lower() + tail, 3: own + tail}
+                for e, x in made.items():
+                    if len(x) >= 20:
+                        want[e, sum(len(x) >= low for low in secrets.CLASSES) - 1, int(plain_score(x, e) / secrets.BIN)] += 1
+                i, at = (i + 1) % len(secrets.CYCLE), at + size
+    by_class = lambda c: sorted((k, sum(n for (e, d, _), n in c.items() if (e, d) == k)) for k in {(e, d) for e, d, _ in c})
+    assert by_class(got) == by_class(want)
+    upto = lambda c, x: sum(n for (*k, b), n in c.items() if (*k,) == x[:2] and b <= x[2])
+    near = sum(abs(upto(got, x) - upto(want, x)) for x in want)
+    assert near < len(want) / 2  # the tail is good to seven digits, far out to less: some bins are next to each other
+
+
 def test_redact_keeps_columns(spark):
     df = spark.createDataFrame([(1, "password = hunter2222 x", "mine", 7, "r"), (1, None, "mine", 8, "s"), (None, "", None, 9, "t")], "doc_id long, text string, __h string, row int, `a.b` string")
     got = secrets.redact(df)

@@ -10,8 +10,9 @@ hexadecimal strings over kinds, symbols and runs of low and high digits. Fisher'
 the p-values is the candidate's score: about 8 for random strings, larger the more it is like text.
 
 What is to be ruled out is that a candidate is text-like, an identifier or name. Its null distribution comes
-from decoys: each document gives, at a place chosen by a hash, words of its own written together with some
-digits, in each encoding and in one class of lengths; a paragraph of plain words gives some in every class.
+from decoys: all plain words of every document, written together, are cut into pieces one after the other, of
+lengths that go round all classes; each piece with some digits is a decoy in each encoding. A paragraph of plain
+words gives some more in every class.
 A candidate's p-value is the share of decoys of its encoding and length class that look as random as it
 does, and Benjamini-Hochberg control within each length class decides which candidates are reported as
 ``random``; so short strings, on which the battery has little power, do not set the limit for long ones.
@@ -23,6 +24,8 @@ pass reports. Nothing is shuffled but the histograms.
 from __future__ import annotations
 
 import math
+import random
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,8 +52,11 @@ CHANCES = {BASE32: (26 / 32, 0.0, 6 / 32), BASE36: (0.0, 26 / 36, 10 / 36), BASE
 CLASSES = (20, 24, 28, 32, 40, 48, 64, 96, 128)
 #: Scores are counted in bins of this width, the last one open.
 BIN, BINS = 0.5, 1200
-#: Characters of a document that its decoy's words are taken from.
-DECOY_CHARS = 700
+#: Words that decoys are made of: those that stand alone.
+PLAIN = r"(?<![\p{L}0-9+/_=-])[A-Za-z]{2,19}(?![\p{L}0-9+/_=-])"
+#: Lengths and last digits of decoys in turn: each class once in every nine.
+_draw = random.Random(1)
+CYCLE = [(_draw.randrange(lo, hi), "".join(_draw.choices(DIGITS, k=_draw.randint(1, 3)))) for _ in range(16) for lo, hi in _draw.sample(list(zip(CLASSES, [*CLASSES[1:], CLASSES[-1] + 32], strict=True)), len(CLASSES))]
 PROSE = (
     "the harbour was quiet when the last boat came in and the men who had waited since noon went down to the quay to help with the ropes "
     "nobody asked where it had been for everyone could see the torn sail and the broken rail and the captain said only that the weather had "
@@ -232,18 +238,99 @@ def _decoy(words: Column, h: Column, enc: Column, cls: Column) -> Column:
     return let(F.struct(joined.alias("w"), h.alias("h"), n.alias("n"), enc.alias("e"), cls.alias("c")), build)
 
 
-def _own_decoy(text: Column) -> Column:
-    """A document's decoy, of an encoding, a length class and words at a place that its hash chooses."""
+def _pieces(size: Column, steps: list[int], h: Column) -> Column:
+    """``i, s``: the place in CYCLE and the start of each piece that a string of that size is cut into.
 
-    def build(h):
-        room = F.greatest(F.length(text) - DECOY_CHARS, F.lit(0)) + 1
-        part = F.substr(text, (F.pmod(h, room.cast("long")) + 1).cast("int"), F.lit(DECOY_CHARS))
-        words = F.regexp_extract_all(part, F.lit(r"(?<![\p{L}0-9+/_=-])[A-Za-z]{2,19}(?![\p{L}0-9+/_=-])"), F.lit(0))
-        cls = F.pmod(F.shiftright(h, 33), F.lit(len(CLASSES)).cast("long")).cast("int")
-        enc = F.pmod(F.shiftright(h, 45), F.lit(4)).cast("int")
-        return _decoy(F.slice(words, 2, F.lit(100)), F.abs(F.shiftright(h, 12)), enc, cls)
+    Pieces have these lengths in turn, from a place that h chooses, and leave nothing out; the last may be shorter.
+    """
+    k, c = len(steps), len(CLASSES)
+    starts, total = list(accumulate(steps, initial=0)), sum(steps)
+    least = min(sum((steps * 2)[i : i + c]) for i in range(k))
+    first = F.pmod(h, F.lit(k).cast("long")).cast("int")
+    at = lambda j: F.get(F.lit(starts[:-1]), j % k) + F.floor(j / k).cast("int") * total
+
+    def cut_(x):
+        enough = F.sequence(F.lit(0), ((F.floor(size / least) + 1) * c - 1).cast("int"))
+        return F.transform(enough, lambda j: F.struct(((x["i"] + j) % k).alias("i"), (at(x["i"] + j) - x["s"]).alias("s")))
+
+    return F.filter(let(F.struct(first.alias("i"), at(first).alias("s")), cut_), lambda x: x["s"] < size)
+
+
+def _own_decoys(text: Column) -> Column:
+    """``own, tail, e`` of a text's decoys: all its plain words, in letters (e -1) and once more as hexadecimal digits (e 0).
+
+    Only what is left at the end, if it is too short for the shortest class, gives none.
+    """
+    own, half = [n - len(d) for n, d in CYCLE], [(n + 1) // 2 for n, _ in CYCLE]
+    of = lambda values, x: F.get(F.lit(values), x["i"])
+
+    def build(w):
+        size, h = F.length(w), F.xxhash64(text)
+        # places in a binary are found at once, those in a string from its start on
+        part = lambda x, steps: F.substr(w, x["s"] + 1, of(steps, x))
+        letters = F.filter(_pieces(size, own, h), lambda x: size - x["s"] + of([len(d) for _, d in CYCLE], x) >= CLASSES[0])
+        digits = F.filter(_pieces(size, half, h), lambda x: (size - x["s"]) * 2 >= CLASSES[0])
+        return F.concat(
+            F.transform(letters, lambda x: F.struct(part(x, own).cast("string").alias("own"), of([d for _, d in CYCLE], x).alias("tail"), F.lit(-1).alias("e"))),
+            F.transform(digits, lambda x: F.struct(F.lower(F.substr(F.hex(part(x, half)), F.lit(1), of([n for n, _ in CYCLE], x))).alias("own"), F.lit("").alias("tail"), F.lit(HEX_DIGITS).alias("e"))),
+        )
 
-    return let(F.xxhash64(text), build)
+    words = F.array_join(F.regexp_extract_all(text, F.lit(PLAIN), F.lit(0)), " ")
+    return let(F.encode(F.replace(F.initcap(F.lower(words)), F.lit(" "), F.lit("")), "utf-8"), build)
+
+
+def _binned(decoys: DataFrame) -> DataFrame:
+    """``side`` 1 and, for rows of ``own, tail, e``, an array ``x`` of ``e, c, b`` (encoding, length class, bin); side 0 and the one in ``given`` where that is not null.
+
+    The battery of ``score`` for what decoys are made of, a column for each step: rows are compiled, lambdas are not.
+    """
+    count = lambda p: F.regexp_count("own", F.lit(p)).cast("double")
+    square = lambda c, s: F.pow((F.length(s) - F.length(F.replace(s, F.lit(c), F.lit("")))).cast("double"), F.lit(2.0))
+    hexed = F.col("e") == HEX_DIGITS
+    total = lambda chars, s: sum((square(c, s) for c in chars[1:]), square(chars[0], s))
+    df = decoys.withColumn("low", F.lower("own")).withColumns({"m": F.length("own").cast("double"), "d": F.length("tail").cast("double")})
+    df = df.withColumns(
+        {
+            "n": F.col("m") + F.col("d"),
+            "squares": F.when(hexed, total("0123456789abcdef", F.col("low"))).otherwise(total(LOWER, F.col("low"))),
+            # letters; capitals
+            "some": F.when(hexed, count("[a-f]")).otherwise(count("[A-Z]")),
+            "runs": F.when(hexed, count("[0-7]+|[89a-f]+")).otherwise(count("[A-Z]+|[a-z]+") + 1),
+            "vowels": F.when(hexed, F.lit(0.0)).otherwise(F.regexp_count("low", F.lit(f"[{VOWELS}]")).cast("double")),
+            "sounds": F.when(hexed, F.lit(0.0)).otherwise(F.regexp_count("low", F.lit(f"[{VOWELS}]+|[^{VOWELS}]+")).cast("double")),
+        }
+    )
+    m, n, d, some, runs = (F.col(c) for c in ("m", "n", "d", "some", "runs"))
+    v = len(VOWELS) / 26
+    turn = 2 * v * (1 - v)
+    kinds = lambda cells: sum((F.pow(c - n * p, F.lit(2.0)) / (n * p) for c, p in cells), F.lit(0.0))
+    few = lambda e, runs: (lambda change: ((n - 1) * change - (runs - 1) - 0.5) / F.sqrt((n - 1) * (change * (1 - change))))(1 - sum(p * p for p in CHANCES[e]))
+    zs = {
+        "z0": F.when(hexed, _chi(F.pow(some - n * 6 / 16, F.lit(2.0)) * (16 / 6 + 16 / 10) / n, 1)).otherwise((F.col("vowels") - m * v - 0.5) / F.sqrt(m * v * (1 - v))),
+        "z1": F.when(hexed, _chi(F.col("squares") * 16 / n - n, 15)).otherwise(_chi(F.col("squares") * 26 / m - m, 25)),
+        "z2": F.when(hexed, F.abs((runs - 1 - (n - 1) / 2) / F.sqrt((n - 1) / 4))).otherwise((F.col("sounds") - 1 - (m - 1) * turn - 0.5) / F.sqrt((m - 1) * turn * (1 - turn))),
+        # one case of letters, then digits
+        "z3": _chi(kinds(((m, 26 / 32), (d, 6 / 32))), 1),
+        "z4": few(BASE32, F.lit(2.0)),
+        "z5": _chi(kinds(((m, 26 / 36), (d, 10 / 36))), 1),
+        "z6": few(BASE36, F.lit(2.0)),
+        "z7": _chi(kinds(((some, 26 / 64), (m - some, 26 / 64), (d, 12 / 64))), 2),
+        "z8": few(BASE64, runs),
+    }
+    df = df.select("e", "given", "n", *[z.alias(k) for k, z in zs.items()])
+    df = df.select("e", "given", "n", *zs, *[(1 / (1 + 0.2316419 * F.least(F.abs(F.col(z)), F.lit(37.0)))).alias(f"t{z}") for z in zs])
+
+    def log_tail(z):
+        t, x = F.col(f"t{z}"), F.least(F.abs(F.col(z)), F.lit(37.0))
+        poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+        return F.exp(-x * x / 2) * 0.3989422804014327 * poly
+
+    df = df.select("e", "given", "n", *zs, *[log_tail(z).alias(f"p{z}") for z in zs])
+    logs = [(-2 * F.ln(F.greatest(F.when(F.col(z) >= 0, F.col(f"p{z}")).otherwise(1 - F.col(f"p{z}")), F.lit(1e-300)))).alias(f"l{i}") for i, z in enumerate(zs)]
+    df = df.select("e", "given", length_class(F.col("n")).alias("c"), *logs).withColumn("same", F.col("l0") + F.col("l1") + F.col("l2"))
+    one = lambda e, *more: F.struct(F.lit(e).alias("e"), F.col("c"), _bin(sum(map(F.col, more), F.col("same"))).alias("b"))
+    three = F.array(one(BASE32, "l3", "l4"), one(BASE36, "l5", "l6"), one(BASE64, "l7", "l8"))
+    return df.select(F.when(F.col("given").isNotNull(), F.array(F.struct("given.e", "given.c", "given.b"))).when(hexed, F.array(one(HEX_DIGITS))).otherwise(three).alias("x"), F.when(F.col("given").isNull(), 1).otherwise(0).alias("side"))
 
 
 def _found(text: Column) -> Column:
@@ -309,9 +396,16 @@ def _scanned(rows: DataFrame, text_col: str, fdr: float) -> DataFrame:
     plain = [(words[i : i + 60], i * 2654435761 % (1 << 31), e, c) for i in range(0, len(words) - 40, 2) for e in range(4) for c in range(len(CLASSES))]
     fixed = spark.createDataFrame(plain, "w array<string>, h long, e int, c int").select(F.lit(1).alias("side"), _decoy(F.col("w"), F.col("h"), F.col("e"), F.col("c")).alias("x")).where("x IS NOT NULL")
     more = lambda t: F.transform(_found(t)["more"], lambda c: F.struct(c["enc"].alias("e"), c["cls"].alias("c"), c["bin"].alias("b")))
-    both = rows.select(let(text, lambda t: F.struct(F.array_compact(F.array(_own_decoy(t))).alias("d"), F.when(F.regexp_like(t, F.lit(CANDIDATE)), more(t)).alias("m"))).alias("x"))
-    sides = F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("x.d").alias("x")), F.struct(F.lit(0).alias("side"), F.col("x.m").alias("x"))))
-    counted = both.select(sides.alias("y")).select("y.side", F.explode("y.x").alias("x")).unionByName(fixed)
+    none = F.lit(None).cast("struct<e:int,c:int,b:int>")
+
+    def sides(t):
+        made = F.transform(_own_decoys(t), lambda x: F.struct(*[x[f].alias(f) for f in ("own", "tail", "e")], none.alias("given")))
+        given = F.transform(F.when(F.regexp_like(t, F.lit(CANDIDATE)), more(t)), lambda x: F.struct(F.lit("").alias("own"), F.lit("").alias("tail"), F.lit(-1).alias("e"), x.alias("given")))
+        return F.concat(made, F.coalesce(given, F.array().cast("array<struct<own:string,tail:string,e:int,given:struct<e:int,c:int,b:int>>>")))
+
+    # outer: from a plain explode the optimizer infers a filter on all that is exploded, and works it out twice
+    both = rows.select(F.explode_outer(let(text, sides)).alias("x")).select("x.*").where("own IS NOT NULL")
+    counted = _binned(both).select("side", F.explode_outer("x").alias("x")).unionByName(fixed)
     # at most 2 sides x 4 encodings x 9 classes x 1,201 bins
     hist = counted.groupBy("side", "x.e", "x.c", "x.b").count().collect()
     table_ = [{(r["e"], r["c"], r["b"]): r["count"] for r in hist if r["side"] == s and r["b"] is not None} for s in (0, 1)]
