@@ -400,7 +400,7 @@ def _scanned(rows: DataFrame, text_col: str, fdr: float) -> DataFrame:
 
     def sides(t):
         made = F.transform(_own_decoys(t), lambda x: F.struct(*[x[f].alias(f) for f in ("own", "tail", "e")], none.alias("given")))
-        given = F.transform(F.when(F.regexp_like(t, F.lit(CANDIDATE)), more(t)), lambda x: F.struct(F.lit("").alias("own"), F.lit("").alias("tail"), F.lit(-1).alias("e"), x.alias("given")))
+        given = F.transform(F.when(F.regexp_like(t, F.lit(CANDIDATE)), more(t)), lambda x: F.struct(F.lit(LOWER).alias("own"), F.lit("1").alias("tail"), F.lit(-1).alias("e"), x.alias("given")))
         return F.concat(made, F.coalesce(given, F.array().cast("array<struct<own:string,tail:string,e:int,given:struct<e:int,c:int,b:int>>>")))
 
     # outer: from a plain explode the optimizer infers a filter on all that is exploded, and works it out twice
