@@ -376,6 +376,28 @@ def test_secret_decoys_are_from_all_words(spark, monkeypatch):
     assert near < len(want) / 2  # the tail is good to seven digits, far out to less: some bins are next to each other
 
 
+def test_secret_decoys_are_scored_by_compiled_code(spark, capsys):
+    owns = ["TheQuickBrownFoxJumpsOver", "heQuickBrownFoxJumpsOverT", "tttttBcdfghJklmnpqrstvwxz", "AeiouAeiouAeiouAeiouAeioua", "ababababababababababababab", "UvAaEeIiOoUuAaEeIiOoUuAaEx", "x" * 159, "aZzA" * 40]
+    rows = [(own, tail, -1) for own in owns for tail in ("1", "907")] + [(own.encode().hex()[:n], "", 0) for own in owns for n in (20, 33, 48)]
+    df = spark.createDataFrame(rows, "own string, tail string, e int").withColumn("given", F.lit(None).cast("struct<e:int,c:int,b:int>"))
+    got = collections.Counter((x.e, x.c, x.b) for r in secrets._binned(df).collect() for x in r.x)
+    want = []
+    for own, tail, e in rows:
+        made = {0: own} if e == 0 else {1: own.upper() + tail, 2: own.lower() + tail, 3: own + tail}
+        want += [(k, sum(len(x) >= low for low in secrets.CLASSES) - 1, plain_score(x, k) / secrets.BIN) for k, x in made.items()]
+    assert sum(got.values()) == len(want)
+    for e, c, x in want:  # the tail is good to seven digits, far out to less
+        assert any(got[e, c, min(b, secrets.BINS)] for b in range(int(0.98 * x - 0.1), int(1.02 * x + 0.1) + 1)), (e, c, x)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else nothing is compiled before it runs
+    try:
+        secrets._binned(df).select("side", F.explode_outer("x").alias("x")).groupBy("side", "x.e", "x.c", "x.b").count().explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000  # Java interprets longer methods
+
+
 def test_redact_keeps_columns(spark):
     df = spark.createDataFrame([(1, "password = hunter2222 x", "mine", 7, "r"), (1, None, "mine", 8, "s"), (None, "", None, 9, "t")], "doc_id long, text string, __h string, row int, `a.b` string")
     got = secrets.redact(df)

@@ -57,6 +57,9 @@ PLAIN = r"(?<![\p{L}0-9+/_=-])[A-Za-z]{2,19}(?![\p{L}0-9+/_=-])"
 #: Lengths and last digits of decoys in turn: each class once in every nine.
 _draw = random.Random(1)
 CYCLE = [(_draw.randrange(lo, hi), "".join(_draw.choices(DIGITS, k=_draw.randint(1, 3)))) for _ in range(16) for lo, hi in _draw.sample(list(zip(CLASSES, [*CLASSES[1:], CLASSES[-1] + 32], strict=True)), len(CLASSES))]
+#: Order in which a decoy's symbols are taken out and counted: letters, vowels first; hexadecimal digits, with those above 7 last and among them letters.
+LETTERS_OUT = "eaoiu" + "tnsrhldcmfpgwybvkxjqz"
+DIGITS_OUT = "67543120" + "98" + "efcdab"
 PROSE = (
     "the harbour was quiet when the last boat came in and the men who had waited since noon went down to the quay to help with the ropes "
     "nobody asked where it had been for everyone could see the torn sail and the broken rail and the captain said only that the weather had "
@@ -283,27 +286,54 @@ def _binned(decoys: DataFrame) -> DataFrame:
     """``side`` 1 and, for rows of ``own, tail, e``, an array ``x`` of ``e, c, b`` (encoding, length class, bin); side 0 and the one in ``given`` where that is not null.
 
     The battery of ``score`` for what decoys are made of, a column for each step: rows are compiled, lambdas are not.
+    Each step has one lambda, which keeps it out of the code of a whole stage: that puts all steps into one method,
+    and Java does not compile methods of over 8,000 bytes. Symbols are counted by taking one after the other out.
     """
-    count = lambda p: F.regexp_count("own", F.lit(p)).cast("double")
-    square = lambda c, s: F.pow((F.length(s) - F.length(F.replace(s, F.lit(c), F.lit("")))).cast("double"), F.lit(2.0))
+    step = lambda df, *columns: df.select(let(F.col("e"), lambda x: x).alias("e"), "given", *columns)
     hexed = F.col("e") == HEX_DIGITS
-    total = lambda chars, s: sum((square(c, s) for c in chars[1:]), square(chars[0], s))
-    df = decoys.withColumn("low", F.lower("own")).withColumns({"m": F.length("own").cast("double"), "d": F.length("tail").cast("double")})
-    df = df.withColumns(
-        {
-            "n": F.col("m") + F.col("d"),
-            "squares": F.when(hexed, total("0123456789abcdef", F.col("low"))).otherwise(total(LOWER, F.col("low"))),
-            # letters; capitals
-            "some": F.when(hexed, count("[a-f]")).otherwise(count("[A-Z]")),
-            "runs": F.when(hexed, count("[0-7]+|[89a-f]+")).otherwise(count("[A-Z]+|[a-z]+") + 1),
-            "vowels": F.when(hexed, F.lit(0.0)).otherwise(F.regexp_count("low", F.lit(f"[{VOWELS}]")).cast("double")),
-            "sounds": F.when(hexed, F.lit(0.0)).otherwise(F.regexp_count("low", F.lit(f"[{VOWELS}]+|[^{VOWELS}]+")).cast("double")),
-        }
+    rest = [F.lower("own")]
+    for i, c in enumerate(LETTERS_OUT[:-1]):
+        rest.append(F.replace(rest[-1], F.when(hexed, F.lit(DIGITS_OUT[i])).otherwise(F.lit(c)) if i < len(DIGITS_OUT) else F.lit(c), F.lit("")))
+    at = lambda i: F.ascii(F.substring("own", i, 1))
+    df = step(
+        decoys,
+        F.octet_length("tail").alias("tail"),
+        *[F.octet_length(x).alias(f"left{i}") for i, x in enumerate(rest)],
+        # lower case differs from upper case by one bit
+        (F.bitmap_count(rest[0].cast("binary")) - F.bitmap_count(F.col("own").cast("binary"))).alias("capitals"),
+        at(1).alias("first"),
+        at(-1).alias("last"),
+        # runs of vowels
+        (F.octet_length(F.when(hexed, F.lit("")).otherwise(F.regexp_replace(rest[0], f"[{VOWELS}]+", "0"))) - F.octet_length(rest[len(VOWELS)])).alias("open"),
+    )
+    left = [F.col(f"left{i}") for i in range(len(rest))] + [F.lit(0)]
+    seen = [left[i] - left[i + 1] for i in range(len(rest))]
+    small = lambda c: (F.col(c) >= ord("a")).cast("int")
+    closed = lambda c: (~F.col(c).isin([ord(v) for v in VOWELS + VOWELS.upper()])).cast("int")
+    # runs of two kinds, if those of one kind are known and whether the other kind stands first and last
+    both = lambda k, first, last: F.when(k > 0, 2 * k - 1 + first + last).otherwise(1)
+    df = step(
+        df,
+        *[
+            c.cast("double").alias(name)
+            for name, c in {
+                "m": left[0],
+                "d": F.col("tail"),
+                "n": left[0] + F.col("tail"),
+                "squares": sum((x * x for x in seen[1:]), seen[0] * seen[0]),
+                # letters; capitals
+                "some": F.when(hexed, left[10]).otherwise(F.col("capitals")),
+                # digits in turn are high halves of bytes, under 8, and low ones; a word has one capital, its first letter, and two letters or more
+                "runs": F.when(hexed, both(left[8], F.lit(1), (F.col("last") < ord("8")).cast("int"))).otherwise(both(F.col("capitals"), small("first"), small("last")) + 1),
+                "vowels": left[0] - left[len(VOWELS)],
+                "sounds": both(F.col("open"), closed("first"), closed("last")),
+            }.items()
+        ],
     )
     m, n, d, some, runs = (F.col(c) for c in ("m", "n", "d", "some", "runs"))
     v = len(VOWELS) / 26
     turn = 2 * v * (1 - v)
-    kinds = lambda cells: sum((F.pow(c - n * p, F.lit(2.0)) / (n * p) for c, p in cells), F.lit(0.0))
+    kinds = lambda cells: sum(((c - n * p) * (c - n * p) / (n * p) for c, p in cells), F.lit(0.0))
     few = lambda e, runs: (lambda change: ((n - 1) * change - (runs - 1) - 0.5) / F.sqrt((n - 1) * (change * (1 - change))))(1 - sum(p * p for p in CHANCES[e]))
     zs = {
         "z0": F.when(hexed, _chi(F.pow(some - n * 6 / 16, F.lit(2.0)) * (16 / 6 + 16 / 10) / n, 1)).otherwise((F.col("vowels") - m * v - 0.5) / F.sqrt(m * v * (1 - v))),
@@ -317,17 +347,18 @@ def _binned(decoys: DataFrame) -> DataFrame:
         "z7": _chi(kinds(((some, 26 / 64), (m - some, 26 / 64), (d, 12 / 64))), 2),
         "z8": few(BASE64, runs),
     }
-    df = df.select("e", "given", "n", *[z.alias(k) for k, z in zs.items()])
-    df = df.select("e", "given", "n", *zs, *[(1 / (1 + 0.2316419 * F.least(F.abs(F.col(z)), F.lit(37.0)))).alias(f"t{z}") for z in zs])
+    df = step(df, "n", *[z.alias(k) for k, z in zs.items()])
+    df = step(df, "n", *zs, *[(1 / (1 + 0.2316419 * F.least(F.abs(F.col(z)), F.lit(37.0)))).alias(f"t{z}") for z in zs])
 
     def log_tail(z):
         t, x = F.col(f"t{z}"), F.least(F.abs(F.col(z)), F.lit(37.0))
         poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
         return F.exp(-x * x / 2) * 0.3989422804014327 * poly
 
-    df = df.select("e", "given", "n", *zs, *[log_tail(z).alias(f"p{z}") for z in zs])
+    df = step(df, "n", *zs, *[log_tail(z).alias(f"p{z}") for z in zs])
     logs = [(-2 * F.ln(F.greatest(F.when(F.col(z) >= 0, F.col(f"p{z}")).otherwise(1 - F.col(f"p{z}")), F.lit(1e-300)))).alias(f"l{i}") for i, z in enumerate(zs)]
-    df = df.select("e", "given", length_class(F.col("n")).alias("c"), *logs).withColumn("same", F.col("l0") + F.col("l1") + F.col("l2"))
+    df = step(df, length_class(F.col("n")).alias("c"), *logs)
+    df = step(df, "c", *[f"l{i}" for i in range(3, len(zs))], (F.col("l0") + F.col("l1") + F.col("l2")).alias("same"))
     one = lambda e, *more: F.struct(F.lit(e).alias("e"), F.col("c"), _bin(sum(map(F.col, more), F.col("same"))).alias("b"))
     three = F.array(one(BASE32, "l3", "l4"), one(BASE36, "l5", "l6"), one(BASE64, "l7", "l8"))
     return df.select(F.when(F.col("given").isNotNull(), F.array(F.struct("given.e", "given.c", "given.b"))).when(hexed, F.array(one(HEX_DIGITS))).otherwise(three).alias("x"), F.when(F.col("given").isNull(), 1).otherwise(0).alias("side"))
